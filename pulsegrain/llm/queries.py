@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .licenses import license_scan
+from .mixing import mix_sizes
 from .ngram_join import ngram_jaccard_join
 
 
@@ -30,5 +32,37 @@ JOIN (SELECT a, min(b) AS class_id FROM r GROUP BY a) m ON m.a = d.doc_id
 LEFT JOIN (SELECT a, count(*) AS n_links FROM l GROUP BY a) k ON k.a = d.doc_id
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_ngram_jaccard_join": op1_ngram_jaccard_join}
-ORACLE_SQL: dict[str, str] = {"op1_ngram_jaccard_join": OP1_SQL}
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sizes(table(spark, sf_dir, "documents")).drop("copies")
+
+
+OP2_SQL = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+a AS (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS i FROM s),
+w AS (SELECT *, [5.0, 2.0, 1.0][(i % 3 + 1)::INT]::DOUBLE AS w, (source_size * 3)::DOUBLE AS cap FROM a),
+r AS (SELECT *, sum(source_size) OVER ()::DOUBLE AS total, sum(w) OVER () AS all_w,
+  coalesce(sum(cap) OVER (ORDER BY cap / w, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS caps,
+  coalesce(sum(w) OVER (ORDER BY cap / w, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ws FROM w),
+l AS (SELECT *, (total - caps) / (all_w - ws) AS level FROM r),
+t AS (SELECT source, source_size, least(cap, (SELECT min(level) FROM l WHERE level * w <= cap) * w) AS target FROM l),
+e AS (SELECT d.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN least(3.0::DOUBLE, t.target / t.source_size) ELSE 0 END AS e,
+  (('0x' || substr(md5('mix-1:' || doc_id), 1, 13))::BIGINT + 0.5) / 4503599627370496 AS u FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source),
+c AS (SELECT *, floor(e)::BIGINT AS certain, e - floor(e) AS p FROM e),
+k AS (SELECT *, sum(size * certain) OVER (PARTITION BY source) AS sure, CASE WHEN p > 0 THEN u / (1 - u) * ((1 - p) / p) END AS odds FROM c),
+o AS (SELECT *, sum(CASE WHEN odds IS NOT NULL THEN size END) OVER (PARTITION BY source ORDER BY odds NULLS LAST, doc_id ROWS UNBOUNDED PRECEDING) AS run FROM k)
+SELECT doc_id, size::BIGINT AS size, source_size, target,
+  (size * (certain + CASE WHEN odds IS NOT NULL AND run - size / 2.0 <= target - sure THEN 1 ELSE 0 END))::BIGINT AS taken FROM o
+"""
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_mix_sources": op2_mix_sources,
+    "op3_license_scan": op3_license_scan,
+}
+ORACLE_SQL: dict[str, str] = {"op1_ngram_jaccard_join": OP1_SQL, "op2_mix_sources": OP2_SQL}
