@@ -10,6 +10,7 @@ from .common import table
 from .licenses import license_scan
 from .mixing import mix_sizes
 from .ngram_join import ngram_jaccard_join
+from .suffix_dedup import remove_repeats
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,9 +61,29 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+OP10_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, unnest(range(0, greatest(0, len(h) // 2 - 99))) AS i, h FROM d),
+x AS (SELECT doc_id, i, md5(substring(h, 2 * i + 1, 200)) AS s FROM w),
+f AS (SELECT doc_id, i, min(doc_id * 1000000000 + i) OVER (PARTITION BY s) < doc_id * 1000000000 + i AS again FROM x),
+g AS (SELECT doc_id, i, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 1 ELSE 0 END AS new FROM f WHERE again),
+n AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM g),
+r AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM n GROUP BY doc_id, k),
+p AS (SELECT r.doc_id, a, substring(h, 2 * coalesce(lag(b) OVER o, 0) + 1, 2 * (a - coalesce(lag(b) OVER o, 0))) AS piece, b FROM r JOIN d USING (doc_id) WINDOW o AS (PARTITION BY r.doc_id ORDER BY a)),
+k AS (SELECT p.doc_id, string_agg(piece, '' ORDER BY a) || substring(any_value(d.h), 2 * max(b) + 1) AS kept FROM p JOIN d USING (doc_id) GROUP BY p.doc_id),
+c AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans FROM r GROUP BY doc_id)
+SELECT d.doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(k.kept, d.h))) AS kept_sha256 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_mix_sources": op2_mix_sources,
     "op3_license_scan": op3_license_scan,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
-ORACLE_SQL: dict[str, str] = {"op1_ngram_jaccard_join": OP1_SQL, "op2_mix_sources": OP2_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_ngram_jaccard_join": OP1_SQL, "op2_mix_sources": OP2_SQL, "op10_suffix_dedup": OP10_SQL}
