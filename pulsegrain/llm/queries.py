@@ -10,6 +10,8 @@ from .common import table
 from .licenses import license_scan
 from .mixing import mix_sizes
 from .ngram_join import ngram_jaccard_join
+from .pii import pii_scan
+from .secrets import secret_scan
 from .suffix_dedup import remove_repeats
 
 
@@ -61,6 +63,14 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(table(spark, sf_dir, "documents"))
+
+
+def op9_pii_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_scan(table(spark, sf_dir, "documents"))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -84,6 +94,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_mix_sources": op2_mix_sources,
     "op3_license_scan": op3_license_scan,
+    "op8_secret_scan": op8_secret_scan,
+    "op9_pii_scan": op9_pii_scan,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 ORACLE_SQL: dict[str, str] = {"op1_ngram_jaccard_join": OP1_SQL, "op2_mix_sources": OP2_SQL, "op10_suffix_dedup": OP10_SQL}
