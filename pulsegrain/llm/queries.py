@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .decontamination import find_contamination
 from .licenses import license_scan
 from .mixing import mix_sizes
 from .ngram_join import ngram_jaccard_join
 from .pii import pii_scan
+from .quality_rules import quality_rules
 from .secrets import secret_scan
 from .suffix_dedup import remove_repeats
 
@@ -63,6 +65,14 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(table(spark, sf_dir, "documents"))
 
@@ -94,6 +104,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_mix_sources": op2_mix_sources,
     "op3_license_scan": op3_license_scan,
+    "op4_quality_rules": op4_quality_rules,
+    "op5_decontaminate": op5_decontaminate,
     "op8_secret_scan": op8_secret_scan,
     "op9_pii_scan": op9_pii_scan,
     "op10_suffix_dedup": op10_suffix_dedup,
