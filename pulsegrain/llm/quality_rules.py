@@ -83,7 +83,7 @@ def estimate(counts: dict[tuple[int, ...], int], rounds: int = ROUNDS) -> tuple[
     """For each class its log share, and for each rule the log rate of each vote in it. Class 0 is the good texts; class k
     the bad ones of the kind that rule k - 1 is there to see, since a rule's vote for good only speaks of its own kind. EM
     on pattern counts: rules vote independently given the class. It starts from texts with any vote for bad, each shared by
-    the rules that voted so; a rule sees at least half of its own kind, and at most a tenth of the good texts."""
+    the rules that voted so; a rule sees at least half of its own kind, and votes against one in fifty good texts at most."""
     names = list(counts)
     if not names:
         return [0.0], [[]]
@@ -105,7 +105,7 @@ def estimate(counts: dict[tuple[int, ...], int], rounds: int = ROUNDS) -> tuple[
             for j in range(m):
                 rate = {v: (sum(counts[p] * s[k] for p, s in zip(names, share, strict=True) if p[j] == v) + 0.5) / (mass + 1.5) for v in (-1, 0, 1)}
                 if k == j + 1 or k == 0:
-                    seen = max(0.5, rate[1]) if k else min(0.1, rate[1])
+                    seen = max(0.5, rate[1]) if k else min(0.02, rate[1])
                     rest = max(1e-12, rate[-1] + rate[0])
                     rate = {-1: rate[-1] * (1 - seen) / rest, 0: rate[0] * (1 - seen) / rest, 1: seen}
                 rates[k].append({v: math.log(max(r, 1e-9)) for v, r in rate.items()})
@@ -121,8 +121,8 @@ def estimate(counts: dict[tuple[int, ...], int], rounds: int = ROUNDS) -> tuple[
 
 def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed (fewer than 50 words, or more
-    than half of them in repeated 3-word windows), kept, and p_good, the posterior that the text is good (a half at least if no rule votes against it). A text is kept if
-    it has not base_failed and p_good is at least a half.
+    than half of them in repeated 3-word windows), kept, and p_good, the posterior that the text is good (a half at least if
+    no rule votes against it). A text is kept if it has not base_failed and p_good is at least a half.
 
     Words are runs of non-blank characters. Null and empty texts have counts 0 and fail. Repeated rows get equal results and
     count each. An empty table gives no rows; other columns are ignored. Windows are compared by 64-bit hashes.
