@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,14 +19,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """`df` computed once and cut from its lineage, in the folder that `spark.checkpoint.dir` names."""
-    context = df.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder that `spark.checkpoint.dir` names; a folder of its own only where that is unset, as in tests."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp("checkpoints"))
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """`df` computed once and cut from its lineage."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """`df` as a compressed table in the folder of checkpoints: for what is larger than a few columns."""
+    path = f"{checkpoint_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def broadcast_if_small(df: DataFrame, row_bytes: int) -> DataFrame:
     """`df` with a broadcast hint if its counted rows fit BROADCAST_BYTES, else unchanged. Counts `df`: pass it checkpointed."""
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df

@@ -38,8 +38,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     before, whole = order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
     ranked = ranked.withColumns({"total": F.sum("source_size").over(whole).cast("double"), "all_w": F.sum("w").over(whole), "caps": F.coalesce(F.sum("cap").over(before), F.lit(0.0)), "ws": F.coalesce(F.sum("w").over(before), F.lit(0.0))})
     ranked = ranked.withColumn("level", (F.col("total") - F.col("caps")) / (F.col("all_w") - F.col("ws")))
-    # the first source that its limit does not stop sets the level of all that follow
-    level = F.min(F.when(F.col("level") * F.col("w") <= F.col("cap"), F.col("level"))).over(whole)
+    # the first source that its limit does not stop sets the level of all that follow, whose own would be lower
+    level = F.max(F.when(F.col("level") * F.col("w") <= F.col("cap"), F.col("level"))).over(whole)
     ranked = ranked.withColumn("target", F.least("cap", level * F.col("w")))
     return ranked.select("source", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"))
 
@@ -65,10 +65,10 @@ def _cut(counts: DataFrame, bucket: str) -> DataFrame:
 def mixing_plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """Per source: size, target, and the rank at which its sample ends."""
     rows = checkpointed(rows)
-    sums = rows.groupBy(F.col("mix_source").alias("source")).agg(F.sum("mix_size").alias("source_size"), (F.sum(F.col("mix_size") * F.col("mix_weight")) / F.sum("mix_size")).alias("mean_weight"))
+    sums = rows.groupBy(F.col("mix_source").alias("source")).agg(F.sum("mix_size").alias("source_size"), F.try_divide(F.sum(F.col("mix_size") * F.col("mix_weight")), F.sum("mix_size").cast("double")).alias("mean_weight"))
     sums = checkpointed(sums)
     goal = targets(sums.select("source", "source_size"), weights)
-    plan = goal.join(sums.select(F.col("source").alias("s"), "mean_weight"), F.col("source").eqNullSafe(F.col("s"))).select(F.col("source").alias("source_"), "source_size", "target", F.coalesce("mean_weight", F.lit(1.0)).alias("mean_weight"))
+    plan = goal.join(sums.select(F.col("source").alias("s"), "mean_weight"), F.col("source").eqNullSafe(F.col("s"))).select(F.col("source").alias("source_"), "source_size", "target", F.coalesce(F.nullif("mean_weight", F.lit(0.0)), F.lit(1.0)).alias("mean_weight"))
     plan = checkpointed(plan)
     keyed = _keyed(rows, broadcast_if_small(plan, 64))
     level1 = keyed.groupBy("source_", "b1").agg(F.sum("mix_size").alias("words"), F.sum(F.col("mix_size") * F.col("certain")).alias("certain"), F.max("target").alias("target"))

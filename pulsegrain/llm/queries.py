@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .decontamination import find_contamination
+from .language_id import language_id
 from .licenses import license_scan
 from .mixing import mix_sizes
 from .ngram_join import ngram_jaccard_join
 from .pii import pii_scan
+from .quality_classifier import quality_scores
 from .quality_rules import quality_rules
 from .secrets import secret_scan
 from .suffix_dedup import remove_repeats
@@ -50,7 +52,7 @@ r AS (SELECT *, sum(source_size) OVER ()::DOUBLE AS total, sum(w) OVER () AS all
   coalesce(sum(cap) OVER (ORDER BY cap / w, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS caps,
   coalesce(sum(w) OVER (ORDER BY cap / w, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ws FROM w),
 l AS (SELECT *, (total - caps) / (all_w - ws) AS level FROM r),
-t AS (SELECT source, source_size, least(cap, (SELECT min(level) FROM l WHERE level * w <= cap) * w) AS target FROM l),
+t AS (SELECT source, source_size, least(cap, (SELECT max(level) FROM l WHERE level * w <= cap) * w) AS target FROM l),
 e AS (SELECT d.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN least(3.0::DOUBLE, t.target / t.source_size) ELSE 0 END AS e,
   (('0x' || substr(md5('mix-1:' || doc_id), 1, 13))::BIGINT + 0.5) / 4503599627370496 AS u FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source),
 c AS (SELECT *, floor(e)::BIGINT AS certain, e - floor(e) AS p FROM e),
@@ -73,6 +75,14 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(table(spark, sf_dir, "documents"))
 
@@ -100,14 +110,23 @@ SELECT d.doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, co
   sha256(unhex(coalesce(k.kept, d.h))) AS kept_sha256 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN k USING (doc_id)
 """
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_mix_sources": op2_mix_sources,
     "op3_license_scan": op3_license_scan,
     "op4_quality_rules": op4_quality_rules,
     "op5_decontaminate": op5_decontaminate,
+    "op6_quality_classifier": op6_quality_classifier,
+    "op7_language_id": op7_language_id,
     "op8_secret_scan": op8_secret_scan,
     "op9_pii_scan": op9_pii_scan,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "pipeline": pipeline,
 }
 ORACLE_SQL: dict[str, str] = {"op1_ngram_jaccard_join": OP1_SQL, "op2_mix_sources": OP2_SQL, "op10_suffix_dedup": OP10_SQL}

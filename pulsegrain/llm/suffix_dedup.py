@@ -11,7 +11,6 @@ Memory is that of a block of buckets, never that of the text.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .common import batch_of, by_key, joined, pieces, runs, utf8
+from .common import batch_of, by_key, joined, pieces, runs, utf8, written
 
 LENGTH, ANCHOR, PERIOD = 100, 32, 32
 
@@ -308,18 +307,6 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch_of(schema, [batch.column(0), *map(list, zip(*rows, strict=True))])
 
 
-def written(df: DataFrame) -> DataFrame:
-    """`df` as a table in the shared folder of checkpoints."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        import tempfile
-
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp("checkpoints"))
-    path = f"{context.getCheckpointDir()}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of `docs`: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 of what is left of the
     UTF-8 text when each byte goes that a 100-byte string covers which also starts earlier: in a document of smaller id, or
