@@ -13,6 +13,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpointed
+
 WORD = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 FEW_WORDS, MOST_REPEATED = 50, 50
@@ -132,6 +134,8 @@ def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     failed = (F.col("n_words") < FEW_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MOST_REPEATED)
     rows = rows.withColumn("base_failed", failed).withColumns({f"vote_{k}": v for k, v in votes.items()})
     names = [f"vote_{k}" for k in votes]
+    # numbers only: the texts are read once, for the counts of patterns and for the verdicts
+    rows = checkpointed(rows)
     # at most 3 ** 7 rows
     counts = {tuple(r[:-1]): r[-1] for r in rows.where("n_words > 0").groupBy(*names).count().collect()}
     prior, rates = estimate(counts)

@@ -35,7 +35,7 @@ def test_counts_like_brute_force(spark):
 
 
 def test_estimate_separates():
-    counts = {(-1, -1, -1): 900, (-1, 0, -1): 50, (1, 1, 0): 60, (1, 1, 1): 30, (0, 1, 1): 10, (-1, -1, 1): 40}
+    counts = {(-1, -1, -1): 900, (-1, 0, -1): 50, (1, 1, 0): 60, (1, 1, 1): 30, (0, 1, 1): 10, (-1, -1, 1): 80}
     prior, rates = estimate(counts)
     odds = lambda p: max(prior[k] + sum(rates[k][j][v] - rates[0][j][v] for j, v in enumerate(p)) for k in (1, 2, 3)) - prior[0]
     assert all(odds(p) > 0 for p in counts if max(p) > 0) and odds((-1, -1, -1)) < 0
