@@ -1,0 +1 @@
+"""Analytics on ordered sequences, as DataFrame operators: search, clocks, clustering, decoding, pairing, merging."""
