@@ -7,6 +7,7 @@ import binascii
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 #: Fixed values of CRC-16 (CCITT, not reflected) and of 32-bit FNV-1a.
 CRC_START, CRC_POLYNOMIAL = 0xFFFF, 0x1021
@@ -17,12 +18,12 @@ WORD = 1 << 32
 def byte_array(value: Column) -> Column:
     """Bytes of a binary or string column as integers 0 to 255."""
     h = F.hex(value)
-    return F.transform(F.sequence(F.lit(1), F.length(h) / 2, F.lit(1)).cast("array<int>"), lambda i: F.conv(F.substring(h, i * 2 - 1, F.lit(2)), 16, 10).cast("int"))
+    return F.transform(F.sequence(F.lit(1), F.octet_length(value)), lambda i: F.conv(F.substring(h, i * 2 - 1, F.lit(2)), 16, 10).cast("int"))
 
 
 def bytes_of(value: Column) -> Column:
     """byte_array, empty for an empty value (a sequence from 1 to 0 counts down)."""
-    return F.when(F.length(value.cast("binary")) > 0, byte_array(value)).otherwise(F.array().cast("array<int>"))
+    return F.when(F.octet_length(value) > 0, byte_array(value)).otherwise(F.array().cast("array<int>"))
 
 
 def crc16(value: Column, start: int = CRC_START) -> Column:
@@ -44,7 +45,7 @@ def crc16_bitwise(value: Column, start: int = CRC_START) -> Column:
     return F.aggregate(bytes_of(value), F.lit(start), lambda crc, b: F.aggregate(F.sequence(F.lit(1), F.lit(8)), crc.bitwiseXOR(b * 256), lambda c, _: one(c)))
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def crc16_long(value: pd.Series) -> pd.Series:
     """CRC-16 of binary values by the standard library, for long ones."""
     return value.map(lambda b: None if b is None else binascii.crc_hqx(bytes(b), CRC_START)).astype("Int32")

@@ -76,7 +76,7 @@ def weighted_cdf(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 def weighted_median(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Median from the histogram, the mean of the two middle values for an even count."""
     hist = df.groupBy(*keys, value).agg(F.count("*").alias("n"))
-    return hist.groupBy(*keys).agg(F.percentile(value, 0.5, "n").alias("median"))
+    return hist.groupBy(*keys).agg(F.percentile(value, 0.5, F.col("n")).alias("median"))
 
 
 def residual_sum(df: DataFrame, keys: Sequence[str], value: str, centers: Sequence[float]) -> DataFrame:

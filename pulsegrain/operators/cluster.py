@@ -104,7 +104,7 @@ def clusters(df: DataFrame, keys: Sequence[str], value: str, k: int, radius: flo
 
     names = [f"`{f.name}` {f.dataType.simpleString()}" for f in hist.select(*keys).schema]
     shape = ", ".join([*names, "centers array<double>", "cost double", *(["dropped long"] if radius is not None else [])])
-    return (hist.groupBy(*keys) if keys else hist.groupBy(F.lit(1))).applyInPandas(solve, shape)
+    return (hist.groupBy(*keys) if keys else hist.withColumn("all_", F.lit(0)).groupBy("all_")).applyInPandas(solve, shape)
 
 
 def densest_window(df: DataFrame, keys: Sequence[str], value: str, radius: float) -> DataFrame:

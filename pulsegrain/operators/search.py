@@ -18,10 +18,15 @@ from .sequence import ordinal, record
 BROADCAST_CHARS = 8 << 20
 
 
-def checked(needles: DataFrame, id_: str, needle: str, unique: bool = False) -> tuple[DataFrame, int]:
-    """Needles and the length of the shortest, hinted for broadcast if small. ValueError for an empty one, or with `unique`
+#: Texts are cut into pieces of this many characters, or of the longest needle's length: finding a character's byte in
+#: UTF-8 means counting from the front, which must not be the front of a long text.
+PIECE = 128
+
+
+def checked(needles: DataFrame, id_: str, needle: str, unique: bool = False) -> tuple[DataFrame, int, int]:
+    """Needles, hinted for broadcast if small, and the lengths of the shortest and the longest. ValueError for an empty one, or with `unique`
     for two that end alike."""
-    n, shortest, chars = needles.agg(F.count("*"), F.min(F.length(needle)), F.sum(F.length(needle) * 2 + 16)).first()
+    n, shortest, longest, chars = needles.agg(F.count("*"), F.min(F.length(needle)), F.max(F.length(needle)), F.sum(F.length(needle) * 2 + 16)).first()
     if n and (shortest is None or shortest < 1):
         raise ValueError("a needle is empty")
     rows = needles.select(F.col(id_).alias("needle_id"), F.col(needle).alias("needle_"))
@@ -29,18 +34,21 @@ def checked(needles: DataFrame, id_: str, needle: str, unique: bool = False) ->
         ends = rows.groupBy(F.right("needle_", F.lit(shortest))).count().where("count > 1").limit(1).count()
         if ends:
             raise ValueError("two needles end alike")
-    return (F.broadcast(rows) if (chars or 0) <= BROADCAST_CHARS else rows), shortest or 1
+    return (F.broadcast(rows) if (chars or 0) <= BROADCAST_CHARS else rows), shortest or 1, longest or 1
 
 
 def find_matches(texts: DataFrame, id_: str, text: str, needles: DataFrame, needle_id: str, needle: str) -> DataFrame:
     """id, idx (characters from 0), needle_id of every occurrence, overlapping ones too."""
-    rows, shortest = checked(needles, needle_id, needle)
+    rows, shortest, longest = checked(needles, needle_id, needle)
     rows = rows.withColumn("key_", F.substring("needle_", 1, shortest))
-    hay = texts.select(F.col(id_), F.col(text).alias("text_")).where(F.length("text_") >= shortest)
-    hay = hay.withColumn("at_", F.explode(F.sequence(F.lit(1), F.length("text_") - shortest + 1)))
+    size = max(PIECE, longest)
+    # each piece is followed by as much of the next as a needle may reach into
+    pieces = F.regexp_extract_all(F.col(text), F.lit(f"(?s)(?=(.{{1,{size + longest - 1}}})).{{1,{size}}}"), F.lit(1))
+    hay = texts.select(F.col(id_), F.posexplode(pieces).alias("piece_", "text_")).where(F.length("text_") >= shortest)
+    hay = hay.withColumn("at_", F.explode(F.sequence(F.lit(1), F.least(F.length("text_") - shortest + 1, F.lit(size)))))
     hits = hay.join(rows, F.substring(F.col("text_"), F.col("at_"), F.lit(shortest)) == F.col("key_"))
     whole = F.substring(F.col("text_"), F.col("at_"), F.length("needle_")) == F.col("needle_")
-    return hits.where(whole).select(F.col(id_), (F.col("at_") - 1).cast("long").alias("idx"), "needle_id")
+    return hits.where(whole).select(F.col(id_), (F.col("piece_") * F.lit(size).cast("long") + F.col("at_") - 1).alias("idx"), "needle_id")
 
 
 def first_matches(texts: DataFrame, id_: str, text: str, needles: DataFrame, needle_id: str, needle: str, k: int) -> DataFrame:
