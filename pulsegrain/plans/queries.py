@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import checksums, folds, signal
-from ..operators import aggregates, cluster, merge, search, sequence, timeline
+from ..operators import aggregates, cluster, loops, merge, search, sequence, timeline
+from ..operators.marks import header_bytes
+from ..operators.marks import parse_header as parsed
+from ..streaming import online
 from .views import BANDS, BITS, KEYS, PULSES, bands, bits, pulses, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -539,8 +542,6 @@ def size_code(spark: SparkSession, sf_dir: str) -> DataFrame:
 CAST(list_reduce(list_concat([65535], b), lambda a, x: list_reduce(list_concat([xor(a, x << 8)], [1, 1, 1, 1, 1, 1, 1, 1]), lambda c, y: CASE WHEN c & 32768 <> 0 THEN xor(c << 1, 4129) & 65535 ELSE (c << 1) & 65535 END)) AS INT) AS crc, user_id % 5 <> 0 AS crc_ok FROM g"""
 )
 def parse_header(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators.marks import header_bytes, parse_header as parsed
-
     users = table(spark, sf_dir, "events").select("user_id").distinct()
     raw = header_bytes(F.col("user_id") % 80, F.col("user_id") % 2, F.col("user_id") % 18 + 1, F.lit(2))
     # every fifth has its last byte changed
@@ -687,3 +688,38 @@ def best_of_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     tries = _records(spark, sf_dir).crossJoin(F.broadcast(alphas)).withColumn("t", folds.tracked(F.col("delays"), CLOCK / 2, F.col("alpha")))
     rated = tries.select("user_id", "alpha", F.round(F.sqrt(F.col("t.squares") / F.col("t.n")), 6).alias("rmse"))
     return merge.best_of(rated, KEYS, ["rmse", "alpha"]).select("user_id", "alpha", "rmse")
+
+
+# --- loops and streams: state along a record, rows only ---------------------------------------------------------------------
+
+
+@query()
+def lagged_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return loops.follow(pulses(spark, sf_dir), KEYS, "pos", "delay", loops.lagged)
+
+
+@query()
+def neighbourhood_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return loops.follow(pulses(spark, sf_dir), KEYS, "pos", "delay", loops.neighbourhood)
+
+
+@query()
+def centred_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return loops.follow(pulses(spark, sf_dir), KEYS, "pos", "delay", loops.centred)
+
+
+@query()
+def online_pulse_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return online.pulse_types(online.as_pulses(table(spark, sf_dir, "events")))
+
+
+@query()
+def online_drive_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    command = F.element_at(F.create_map(*[F.lit(x) for x in ("click", "motor", "view", "seek", "purchase", "read", "signup", "done", "error", "cancel")]), F.col("event_type"))
+    rows = table(spark, sf_dir, "events")
+    return online.drive_states(rows.select(F.col("user_id").alias("drive"), (F.unix_micros(F.col("ts").cast("timestamp")) * 50).alias("tick"), command.alias("command")))
+
+
+@query()
+def near_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.near_matches(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_partkey", "p_name", "blue bolt", 2, 1, 1)
