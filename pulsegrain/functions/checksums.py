@@ -23,7 +23,7 @@ def byte_array(value: Column) -> Column:
 
 def bytes_of(value: Column) -> Column:
     """byte_array, empty for an empty value (a sequence from 1 to 0 counts down)."""
-    return F.when(F.octet_length(value) > 0, byte_array(value)).otherwise(F.array().cast("array<int>"))
+    return F.when(F.octet_length(value) > 0, byte_array(value)).when(value.isNotNull(), F.array().cast("array<int>"))
 
 
 def crc16(value: Column, start: int = CRC_START) -> Column:
