@@ -303,12 +303,10 @@ def ngram_jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
 def keep_one_of_each_group(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of `docs` that are the first of their group in ngram_jaccard_join, with all their columns.
 
-    Of rows that repeat the first id, one stays; rows with a null id, and those without words, are in no group by their text
-    and all stay, but for null ids in a group that has others.
+    Of rows that repeat the first id, one stays. Rows with a null id cannot be chosen by it, and all stay; documents without
+    words are groups of their own.
     """
-    found = ngram_jaccard_join(docs, text, doc_id)
-    first = found.where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("class_id"))).where(F.col("doc_id").isNotNull() | F.col("class_id").isNull())
-    ids = checkpointed(first.select(F.col("doc_id").alias("kept_")).distinct())
-    rows = docs.join(broadcast_if_small(ids, 16), F.col(f"`{doc_id}`").cast("long").eqNullSafe(F.col("kept_")), "left_semi")
-    null = rows.where(F.col(f"`{doc_id}`").isNull())
-    return rows.where(F.col(f"`{doc_id}`").isNotNull()).dropDuplicates([doc_id]).unionByName(null)
+    found = ngram_jaccard_join(docs.where(F.col(f"`{doc_id}`").isNotNull()), text, doc_id)
+    ids = checkpointed(found.where(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("pulsegrain_kept")).distinct())
+    rows = docs.join(broadcast_if_small(ids, 16), F.col(f"`{doc_id}`").cast("long") == F.col("pulsegrain_kept"), "left_semi")
+    return rows.dropDuplicates([doc_id]).unionByName(docs.where(F.col(f"`{doc_id}`").isNull()))

@@ -21,7 +21,7 @@ from .common import batch_of, broadcast_if_small, joined, pieces, runs, utf8
 
 #: Texts per class that are sampled for training (those of least hash), hidden units, steps, batch, step, seed.
 SAMPLE, HIDDEN, ROUNDS, BATCH, STEP, SEED = 8000, 24, 700, 1536, 0.01, 7
-FOLD, CUT = 5, 0.3
+FOLD, CUT, FIRST, SAFE = 5, 0.3, 3, 0.93
 
 _LETTERS = np.zeros(256, np.int64)
 for _i, _set in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b".,;:", b"!?", b"'\"()-", b"#*$%&|<>", b" \t", b"\n\r", bytes(range(128, 256)))):
@@ -126,12 +126,12 @@ class Network:
         z = np.clip((x - self.mean) / self.scale, -6, 6)
         return np.tanh(z @ self.w[0] + self.w[1]) @ self.w[2] + self.w[3][0]
 
-    def step(self, x: np.ndarray, slope: np.ndarray, rate: float) -> None:
+    def step(self, x: np.ndarray, slope: np.ndarray, rate: float, decay: float = 1e-4) -> None:
         """One Adam step given the risk's derivative by each row's output."""
         z = np.clip((x - self.mean) / self.scale, -6, 6)
         hidden = np.tanh(z @ self.w[0] + self.w[1])
         back = np.outer(slope, self.w[2]) * (1 - hidden**2)
-        grads = [z.T @ back + 1e-4 * self.w[0], back.sum(0), hidden.T @ slope + 1e-4 * self.w[2], np.array([slope.sum()])]
+        grads = [z.T @ back + decay * self.w[0], back.sum(0), hidden.T @ slope + decay * self.w[2], np.array([slope.sum()])]
         self.t += 1
         for p, g, (m, v) in zip(self.w, grads, self.moments, strict=True):
             m += 0.1 * (g - m)
@@ -158,7 +158,7 @@ def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
         t = np.quantile(positive, q)
         p, u = (positive >= t).mean(), (unlabelled >= t).mean()
         if p >= 0.2:
-            best = min(best, (u + math.sqrt(u * (1 - u) / len(unlabelled))) / p)
+            best = min(best, (u + 0.5 * math.sqrt(u * (1 - u) / len(unlabelled))) / p)
     return float(min(0.99, max(0.05, best)))
 
 
@@ -166,41 +166,52 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, rounds: int = ROUNDS, se
     """Network and class prior. First positives are told from unlabelled texts, which gives the prior; then the non-negative risk is minimised."""
     both = np.concatenate([positive, unlabelled])
     rng = np.random.default_rng(seed)
-    net = Network(both.shape[1], seed)
-    net.fit_scale(both)
+    # each half is scored by networks that learned from the other
     half_p, half_u = rng.random(len(positive)) < 0.5, rng.random(len(unlabelled)) < 0.5
-    for x_p, x_u in _batches(rng, positive[half_p], unlabelled[half_u], rounds // 3 + 1):
-        x = np.concatenate([x_p, x_u])
-        out = net.out(x)
-        net.step(x, np.concatenate([_loss_slope(out[: len(x_p)], 1) / len(x_p), _loss_slope(out[len(x_p) :], -1) / len(x_u)]), STEP)
-    prior = class_prior(net.out(positive[~half_p]), net.out(unlabelled[~half_u])) if (~half_p).any() and (~half_u).any() else 0.5
+    out_p, out_u = np.zeros(len(positive)), np.zeros(len(unlabelled))
+    for side in (False, True):
+        for run in range(FIRST):
+            first = Network(both.shape[1], seed + run)
+            first.fit_scale(both)
+            mine_p, mine_u = positive[half_p == side], unlabelled[half_u == side]
+            if not len(mine_p) or not len(mine_u):
+                continue
+            for x_p, x_u in _batches(rng, mine_p, mine_u, rounds // 5 + 1):
+                x = np.concatenate([x_p, x_u])
+                out = first.out(x)
+                first.step(x, np.concatenate([_loss_slope(out[: len(x_p)], 1) / len(x_p), _loss_slope(out[len(x_p) :], -1) / len(x_u)]), STEP, 3e-3)
+            out_p[half_p != side] += first.out(positive[half_p != side])
+            out_u[half_u != side] += first.out(unlabelled[half_u != side])
+    # too high a prior would call one kind of bad texts good; too low a one only lowers all scores, which boundary() makes up
+    prior = class_prior(out_p, out_u)
+    share = SAFE * prior
     net = Network(both.shape[1], seed)
     net.fit_scale(both)
     for n, (x_p, x_u) in enumerate(_batches(rng, positive, unlabelled, rounds)):
         x = np.concatenate([x_p, x_u])
         out = net.out(x)
         a, b = out[: len(x_p)], out[len(x_p) :]
-        negative = _loss(b, -1).mean() - prior * _loss(a, -1).mean()
+        negative = _loss(b, -1).mean() - share * _loss(a, -1).mean()
         if negative >= 0:
-            slope = np.concatenate([prior * (_loss_slope(a, 1) - _loss_slope(a, -1)) / len(a), _loss_slope(b, -1) / len(b)])
+            slope = np.concatenate([share * (_loss_slope(a, 1) - _loss_slope(a, -1)) / len(a), _loss_slope(b, -1) / len(b)])
         else:  # the risk of the bad class cannot be below zero: go back up on it
-            slope = np.concatenate([prior * _loss_slope(a, -1) / len(a), -_loss_slope(b, -1) / len(b)])
+            slope = np.concatenate([share * _loss_slope(a, -1) / len(a), -_loss_slope(b, -1) / len(b)])
         net.step(x, slope, STEP * (1 - 0.9 * n / rounds))
     net.w[3] += math.log(CUT / (1 - CUT)) - boundary(net.out(positive), net.out(unlabelled), prior)
     return net, prior
 
 
 def boundary(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> float:
-    """Output that is to score CUT: the middle of the widest gap of the unlabelled texts' outputs around the share that the
-    prior leaves for bad ones, below all but a few of the positives."""
+    """Output that is to score CUT: the middle of the highest wide gap of the unlabelled texts' outputs around the share that
+    the prior leaves for bad ones, below all but a few of the positives."""
     order = np.sort(unlabelled)
     low = int(0.8 * (1 - prior) * len(order))
-    high = min(int((1 - prior + 0.03) * len(order)), int(np.searchsorted(order, np.quantile(positive, 0.002))) + 1)
+    high = min(int((1 - prior + 0.05) * len(order)), int(np.searchsorted(order, np.quantile(positive, 0.002))) + 1)
     low, high = max(0, min(low, high - 2)), min(len(order), max(high, 2))
     gaps = np.diff(order[low:high])
     if not len(gaps):
         return float(order[0]) - 1
-    z = low + int(np.argmax(gaps))
+    z = low + int(np.flatnonzero(gaps >= 0.3 * gaps.max())[-1])
     return float(order[z] + order[z + 1]) / 2
 
 
