@@ -296,7 +296,8 @@ def ngram_jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     linked = named.join(first, "root").join(links.withColumnRenamed("class", "node"), "node").select(F.col("node").alias("class"), "first", "links")
     classes = nodes.select("class", "rep", "weight").join(linked, "class", "left")
     classes = classes.select("class", F.coalesce("first", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
-    out = base.select("doc_id", "class").join(classes, "class", "left")
+    # on its own, so that a class with very many copies can be split in the join
+    out = base.select("doc_id", "class").join(checkpointed(classes), "class", "left")
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 

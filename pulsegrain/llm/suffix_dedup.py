@@ -5,7 +5,8 @@ suffix buckets by the least hash of the 32-byte strings in the window, which dep
 windows share a bucket; neighbouring windows share it too, so that a bucket gets them as one stretch of text. Stretches
 whose bucket or whose bytes settle the matter need no sorting. For the others one block of buckets after the other is
 sorted: by the first 32 bytes, and ties by the ranks of a difference-cover sample of the block, computed beforehand.
-Memory is that of a block of buckets, never that of the text.
+Memory is that of a block of buckets, never that of the text: a bucket that many texts share, such as that of a common line,
+is dealt anew with each whole window as a bucket of its own.
 """
 
 from __future__ import annotations
@@ -20,9 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .common import batch_of, by_key, joined, pieces, runs, utf8, written
+from .common import batch_of, broadcast_if_small, by_key, checkpointed, joined, pieces, runs, utf8, written
 
 LENGTH, ANCHOR, PERIOD = 100, 32, 32
+#: Buckets with more open stretches than this are dealt anew by whole windows, so that no block outgrows a task.
+CROWD = 50_000
 
 
 def difference_cover(v: int) -> np.ndarray:
@@ -107,6 +110,7 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch_of(schema, [bucket[here], salt[here].astype(np.int32), content[here], d[here], s[here], first[here].astype(np.int32), n[here].astype(np.int32), twice[here]])
 
 
+STRETCH = "bucket long, salt int, content long, doc long, sub int, first int, n int, twice boolean"
 SETTLED = "doc long, sub int, first int, n int, bucket long, open boolean"
 
 
@@ -176,6 +180,19 @@ def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch_of(schema, list(map(list, zip(*rows, strict=True))))
 
 
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A stretch of one window for each window of the asked ones: the window is its own bucket."""
+    schema = pa.schema([("bucket", pa.int64()), ("salt", pa.int32()), ("content", pa.int64()), ("doc", pa.int64()), ("sub", pa.int32()), ("first", pa.int32()), ("n", pa.int32()), ("twice", pa.bool_())])
+    for batch in batches:
+        unpack = zstandard.ZstdDecompressor().decompress
+        for doc, sub, z, parts in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            text = np.frombuffer(unpack(z), np.uint8)
+            at = np.concatenate([np.arange(p["first"], p["first"] + p["n"]) for p in parts])
+            hashes = H.word_hashes(text, at, at + LENGTH).view(np.int64)
+            n = len(at)
+            yield batch_of(schema, [hashes, np.zeros(n, np.int32), hashes, np.full(n, doc), np.full(n, sub, np.int32), at.astype(np.int32), np.ones(n, np.int32), np.zeros(n, bool)])
+
+
 class Sorter:
     """Order of the windows of one block of text."""
 
@@ -319,16 +336,27 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.hash(F.lit(7), body).alias("sub"), body.alias("text"), F.col(doc_id).cast("long").alias("doc_id"))
-    found = rows.where(F.octet_length("text") >= LENGTH).select("doc", "sub", "text").mapInArrow(_stretches, "bucket long, salt int, content long, doc long, sub int, first int, n int, twice boolean")
+    found = rows.where(F.octet_length("text") >= LENGTH).select("doc", "sub", "text").mapInArrow(_stretches, STRETCH)
     found = found.repartition(parts, "bucket", "salt").sortWithinPartitions("bucket", "salt", "content", "doc", "sub", "first")
     settled = written(found.mapInArrow(_settle, SETTLED))
     packed = rows.mapInArrow(_packed, "doc long, sub int, z binary, doc_id long")
-    asked = settled.where("open").groupBy("doc", "sub").agg(F.collect_list(F.struct("bucket", "first", "n")).alias("parts"))
+    open_ = settled.where("open")
+    crowds = checkpointed(open_.groupBy("bucket").count().where(F.col("count") > CROWD).select("bucket"))
+    spread = None
+    if crowds.head(1):
+        crowds = broadcast_if_small(crowds, 16)
+        many = open_.join(crowds, "bucket", "left_semi").groupBy("doc", "sub").agg(F.collect_list(F.struct("first", "n")).alias("parts"))
+        open_ = open_.join(crowds, "bucket", "left_anti")
+        apart = packed.select("doc", "sub", "z").join(many, ["doc", "sub"]).select("doc", "sub", "z", "parts").mapInArrow(_windows, STRETCH)
+        apart = apart.repartition(parts, "bucket", "salt").sortWithinPartitions("bucket", "salt", "content", "doc", "sub", "first")
+        spread = apart.mapInArrow(_settle, SETTLED).select("doc", "sub", "first", "n")
+    asked = open_.groupBy("doc", "sub").agg(F.collect_list(F.struct("bucket", "first", "n")).alias("parts"))
     whole = packed.select("doc", "sub", "z").join(asked, ["doc", "sub"]).select("doc", "sub", "z", "parts")
     blocks = whole.mapInArrow(_contents, "bucket long, doc long, sub int, first int, bytes binary").dropDuplicates(["bucket", "doc", "sub", "first"])
     blocks = blocks.repartition(parts, "bucket").sortWithinPartitions("bucket", "doc", "sub", "first")
     sorted_ = blocks.mapInArrow(_sorted_blocks, "doc long, sub int, first int, n int")
     spans = settled.where("NOT open").select("doc", "sub", "first", "n").unionByName(sorted_)
+    spans = spans.unionByName(spread) if spread is not None else spans
     spans = spans.groupBy("doc", "sub").agg(F.collect_list(F.struct("first", "n")).alias("spans"))
     out = packed.join(spans, ["doc", "sub"], "left")
     return out.select("doc_id", "z", "spans").mapInArrow(_removed, OUT)

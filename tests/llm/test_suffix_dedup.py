@@ -47,6 +47,13 @@ def test_like_brute_force(spark):
     assert sorted((tuple(r) for r in got), key=str) == brute(rows)
 
 
+def test_crowded_buckets(spark, monkeypatch):
+    monkeypatch.setattr(S, "CROWD", 2)
+    rows = corpus()
+    got = S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute(rows)
+
+
 def test_repeated_rows_are_one_document(spark):
     text = "".join(random.Random(1).choices("abcdef", k=300))
     docs = spark.createDataFrame([(1, text), (1, text), (2, text)], "doc_id long, text string")
