@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .cluster import k_median
+from .cluster import k_center, k_median
 
 
 def _band(value: float, centers: np.ndarray) -> int:
@@ -95,6 +95,24 @@ def fewest_errors(values: Sequence[float], intervals: Sequence[tuple[float, floa
     return best[1] if best else None
 
 
+def least_radius(values: np.ndarray, k: int, radii: Sequence[float], errors: Callable[[np.ndarray], int]) -> tuple[float, np.ndarray, int] | None:
+    """Radius, bands and errors of the first radius whose k-center bands decode without errors, else of the one with fewest;
+    the optimal k medians (radius 0) are tried first."""
+    v, n = np.unique(values, return_counts=True)
+    best: tuple[float, np.ndarray, int] | None = None
+    for r in (0.0, *radii):
+        centers = k_median(v, n, k)[0] if not r else k_center(v, n, k, r)[0]
+        if not centers:
+            continue
+        bands = np.abs(values[:, None] - np.array(centers)).argmin(1)
+        e = errors(bands)
+        if best is None or e < best[2]:
+            best = (r, bands, e)
+        if not e:
+            break
+    return best
+
+
 def header_needles(track: int, head: int, first: int, last: int, size_code: int) -> Iterator[tuple[int, bytes]]:
     """Sector number and whole header with checksum for each sector of a range, to be searched with errors."""
     from ..functions.mfm import with_crc

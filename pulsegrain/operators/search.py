@@ -156,3 +156,33 @@ def near_matches(texts: DataFrame, id_: str, text: str, needle: str, substitutio
             yield pd.DataFrame(rows, columns=[id_, "start", "end", "edits"])
 
     return texts.select(id_, text).mapInPandas(run, f"{id_} {kind}, start int, end int, edits int")
+
+
+def corrupted_headers(bands: DataFrame, id_: str, text: str, needles: dict[int, str], prefix: int, substitutions: int, inserts: int, deletes: int) -> DataFrame:
+    """id, sector, start, end, edits of needles (one for each sector number, as band strings with a common prefix) that occur
+    with limited edits. The prefix is searched once, for all of them; what follows it is compared only there, and the whole
+    is compared again within the same limits."""
+    if not needles:
+        raise ValueError("no needle")
+    heads = {n[:prefix] for n in needles.values()}
+    if len(heads) != 1:
+        raise ValueError("the needles have no common prefix of that length")
+    (head,) = heads
+    kind = bands.schema[id_].dataType.simpleString()
+    longest = max(map(len, needles.values())) + inserts
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for i, t in zip(batch[id_], batch[text], strict=True):
+                places = {start for start, *_ in _near(head, t, substitutions, inserts, deletes)} if t is not None else set()
+                for sector, needle in needles.items():
+                    best: dict[int, tuple[int, int]] = {}
+                    for start in places:
+                        for s, e, edits in _near(needle, t[start : start + longest], substitutions, inserts, deletes):
+                            if s == 0 and (start + e not in best or edits < best[start + e][1]):
+                                best[start + e] = (start, edits)
+                    rows += [(i, sector, s, e, edits) for e, (s, edits) in sorted(best.items())]
+            yield pd.DataFrame(rows, columns=[id_, "sector", "start", "end", "edits"])
+
+    return bands.select(id_, text).mapInPandas(run, f"{id_} {kind}, sector int, start int, end int, edits int")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.signal import nearest
+from .merge import upsert
 from .sequence import record
 
 
@@ -69,3 +71,19 @@ def pair_adjacent(df: DataFrame, keys: Sequence[str], pos: str, is_header: Colum
     before = F.lag(F.struct(is_header.alias("is_"), *dict.fromkeys([pos, *carried]))).over(window)
     rows = df.withColumn("h_", before).where(is_data & F.coalesce(F.col("h_.is_"), F.lit(False)))
     return rows.withColumns({f"header_{c}": F.col(f"h_.{c}") for c in dict.fromkeys([pos, *carried])}).drop("h_")
+
+
+def stitched_bands(df: DataFrame, marks: DataFrame, keys: Sequence[str], pos: str, value: str, start: str, centers: str, fallback: Sequence[float]) -> DataFrame:
+    """Each row with the band of its value among the centers of the last mark at or before it; before the first mark the
+    fallback counts. Marks come by equality of places and are carried on by a window, so that nothing is joined by range."""
+    placed = marks.select(*keys, F.col(start).alias(pos), F.col(centers).alias("c_"))
+    rows = df.join(placed, [*keys, pos], "left")
+    window = record(keys, pos).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("c_", F.coalesce(F.last("c_", ignorenulls=True).over(window), F.array(*[F.lit(float(c)) for c in fallback])))
+    return rows.withColumn("band", nearest(F.col(value), F.col("c_"))["band"]).drop("c_")
+
+
+def upsert_headers(chunks: DataFrame, found: DataFrame, keys: Sequence[str], end: str, start: str, ok: str) -> DataFrame:
+    """Chunks with headers found by other means: one takes the place of a chunk with the same end that is not valid, is left
+    out beside a valid one, and is added where there is none. Order is by `start`."""
+    return upsert(chunks, found, [*keys, end], ok).orderBy(*keys, start)

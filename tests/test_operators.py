@@ -271,3 +271,27 @@ def test_names_for_sql(spark):
     assert [r.idx for r in spark.sql(f"SELECT idx FROM match_needles('{HELLO}', 'hello')").collect()] == [0, 24, 45]
     raw = spark.createDataFrame([(b"abc", 0)], "d binary, c int").select(registry.inflate("d", "c").alias("b"))
     assert bytes(one(raw).b) == b"abc"
+
+
+def test_corrupted_headers(spark):
+    needles = {1: "0001200", 2: "0001211", 3: "0001022"}
+    df = spark.createDataFrame([(1, "2222" + "0001211" + "22"), (2, "22" + "001211" + "2"), (3, "2" * 20), (4, None)], "id int, bands string")
+    found = search.corrupted_headers(df, "id", "bands", needles, 4, 0, 0, 1).collect()
+    least = {(r.id, r.sector): r.edits for r in sorted(found, key=lambda r: -r.edits)}
+    assert least[1, 2] == 0 and least[2, 2] == 1 and not any(i in (3, 4) for i, _ in least)
+    with pytest.raises(ValueError):
+        search.corrupted_headers(df, "id", "bands", {1: "01", 2: "11"}, 2, 0, 0, 0)
+
+
+def test_stitched_bands(spark):
+    df = long_form(spark, [10, 20, 10, 20, 30])
+    where = spark.createDataFrame([(1, 2, [5.0, 10.0, 20.0])], "k int, start long, c array<double>")
+    got = timeline.stitched_bands(df, where, ["k"], "pos", "v", "start", "c", (10, 20, 30)).orderBy("pos").collect()
+    assert [r.band for r in got] == [0, 1, 1, 2, 2]
+
+
+def test_least_radius():
+    values = np.array([10.0, 10, 20, 20, 30, 30, 900])
+    want = np.array([0, 0, 1, 1, 2, 2, 2])
+    r, bands, errors = loops.least_radius(values, 3, (1.0, 2.0), lambda b: int((b != want).sum()))
+    assert errors == 0 and r > 0 and (bands == want).all()
