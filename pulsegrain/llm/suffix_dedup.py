@@ -65,7 +65,7 @@ def stretches(buf: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> tuple[np.nd
     # a place holds the least hash of some window if the largest of its windows' least hashes is its own
     padded = np.concatenate([np.full(need - 1, low[0]), low, np.full(need - 1, low[-1])])
     anchors = np.flatnonzero(_slide(np.maximum, padded, need)[: len(hashes)] == hashes)
-    left = anchors[:-1][(hashes[anchors[1:]] == hashes[anchors[:-1]]) & (anchors[1:] - anchors[:-1] < need)]
+    left = anchors[:-1][(hashes[anchors[1:]] == hashes[anchors[:-1]]) & (anchors[1:] - anchors[:-1] <= need)]
     full = np.flatnonzero(n)
     doc = np.searchsorted(at[full], left, side="right") - 1
     window = np.minimum(left[doc >= 0], (at + n - 1)[full[doc[doc >= 0]]])

@@ -37,6 +37,7 @@ def corpus() -> list[tuple]:
             parts += [rng.choice(passages), say(rng.randrange(0, 60))]
         rows.append((i * 3, "".join(parts)))
     rows += [(500, rows[4][1]), (501, rows[4][1][:-1] + "z"), (502, "ab" * 3000), (503, "c" * 250), (504, (say(70)) * 5), (505, None), (506, ""), (507, say(99)), (508, "xy" + "ab" * 200), (None, rows[7][1])]
+    rows += [(600 + n, "".join(rng.choices("abcdefghijkl", k=n)) * (300 // n + 2)) for n in range(1, 140, 4)] + [(800 + n, "".join(rng.choices("mnopqrst", k=n)) * 5) for n in (67, 68, 69, 70, 71, 100)]
     return rows + [(509, "".join(passages) * 3)]
 
 
