@@ -280,7 +280,7 @@ def multi_needle_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.find_matches(table(spark, sf_dir, "documents"), "doc_id", "text", _needles(spark, sf_dir), "item_id", "needle")
 
 
-@query(_with(HITS) + "SELECT doc_id, idx, needle_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY idx, needle_id) AS rank FROM hits) WHERE rank <= 2")
+@query(_with(HITS) + "SELECT doc_id, idx, needle_id, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY idx, needle_id) AS INT) AS rank FROM hits) WHERE rank <= 2")
 def first_k_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.first_matches(table(spark, sf_dir, "documents"), "doc_id", "text", _needles(spark, sf_dir), "item_id", "needle", 2)
 
@@ -291,14 +291,14 @@ def nonoverlap_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("item_id", F.size("starts").cast("long").alias("n_apart"))
 
 
-@query("SELECT a.p_name AS \"left\", b.p_name AS \"right\", levenshtein(a.p_name, b.p_name) AS distance FROM (SELECT DISTINCT p_name FROM part) a JOIN (SELECT DISTINCT p_name FROM part) b ON substring(a.p_name, 1, 3) = substring(b.p_name, 1, 3) WHERE levenshtein(a.p_name, b.p_name) <= 4")
+@query("SELECT a.p_name AS \"left\", b.p_name AS \"right\", CAST(levenshtein(a.p_name, b.p_name) AS INT) AS distance FROM (SELECT DISTINCT p_name FROM part) a JOIN (SELECT DISTINCT p_name FROM part) b ON substring(a.p_name, 1, 3) = substring(b.p_name, 1, 3) WHERE levenshtein(a.p_name, b.p_name) <= 4")
 def fuzzy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     return search.fuzzy_pairs(part, "p_name", part, "p_name", 3, 4)
 
 
 @query(
-    """SELECT n AS needle, p_name AS text, levenshtein(n, p_name) AS distance FROM (SELECT DISTINCT p_name FROM part) p JOIN (SELECT DISTINCT p_type, lower(p_type) || ' rang' AS n FROM part) t
+    """SELECT n AS needle, p_name AS text, CAST(levenshtein(n, p_name) AS INT) AS distance FROM (SELECT DISTINCT p_name FROM part) p JOIN (SELECT DISTINCT p_type, lower(p_type) || ' rang' AS n FROM part) t
 ON substring(n, 1, 4) = substring(p_name, 1, 4) WHERE levenshtein(n, p_name) <= 3 AND levenshtein(substring(n, 5), substring(p_name, 5)) <= 3"""
 )
 def prefix_then_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
