@@ -28,6 +28,8 @@ BANDS, ROWS = 25, 4
 HASHES = BANDS * ROWS
 STEP, TOLERANCE = 10, 1e-6
 BLOCK = 256
+#: Band buckets of more classes than this are cut into blocks before any task holds them.
+CROWD = 4096
 
 _rng = np.random.default_rng(5)
 A = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) | H.U(1)
@@ -270,8 +272,17 @@ def ngram_jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     nodes = base.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight"), F.first("sig").alias("sig"))
     nodes = checkpointed(nodes)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bands = nodes.select("class", "sig").mapInArrow(_bands, "band long, class long").repartition(parts, "band").sortWithinPartitions("band")
-    buckets = bands.mapInArrow(_buckets, "bucket long, i int, j int, own int, class long").dropDuplicates(["bucket", "i", "j", "class"])
+    bands = nodes.select("class", "sig").mapInArrow(_bands, "band long, class long")
+    crowds = checkpointed(bands.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > CROWD))
+    large = None
+    if crowds.head(1):
+        side = broadcast_if_small(crowds, 32)
+        large = bands.join(side, "band").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+        large = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        large = large.select(F.col("band").alias("bucket"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class")
+        bands = bands.join(side.select("band"), "band", "left_anti")
+    small = bands.repartition(parts, "band").sortWithinPartitions("band").mapInArrow(_buckets, "bucket long, i int, j int, own int, class long")
+    buckets = (small if large is None else small.unionByName(large)).dropDuplicates(["bucket", "i", "j", "class"])
     prune, _ = _prune(fewest_matches(threshold))
     kept = buckets.join(nodes.select("class", "sig"), "class").repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "class").mapInArrow(prune, "u long, v long")
     groups = checkpointed(connected_components(checkpointed(kept), "u", "v"))

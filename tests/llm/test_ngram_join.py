@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from pulsegrain.llm import ngram_join as J
 from pulsegrain.llm.components import connected_components
@@ -59,8 +60,10 @@ def test_like_brute_force(spark):
     assert sum(r.doc_id is None for r in kept) == 2
 
 
-def test_a_large_group_in_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("crowd", [4096, 10])
+def test_a_large_group_in_blocks(spark, monkeypatch, crowd):
     monkeypatch.setattr(J, "BLOCK", 16)
+    monkeypatch.setattr(J, "CROWD", crowd)
     rng = random.Random(3)
     base = [f"t{i}" for i in range(150)]
     rows = []
