@@ -3,8 +3,8 @@
 Candidates are runs of key characters. For the encoding that a run's characters imply, three tests measure how far it is
 from random: a chi-squared test of uniform use of the alphabet, a Wald-Wolfowitz runs test about the alphabet's middle and
 a serial-correlation test. Their combined p-value is small for words and identifiers and spread out for keys. How often an
-ordinary run of the same encoding and length class is as random-looking is counted over the whole corpus, and a
-Benjamini-Hochberg bound within each encoding and length class sets the p-value from which a run is reported.
+ordinary run of the same encoding and length class is as random-looking is counted over the whole corpus, each distinct
+run once, and a Benjamini-Hochberg bound within each encoding and length class sets the p-value from which a run is reported.
 """
 
 from __future__ import annotations
@@ -110,15 +110,25 @@ def candidates(text: str) -> list[tuple[int, int, int, int, int]]:
     return out
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("code", pa.int32()), ("length", pa.int32()), ("bin", pa.int32()), ("n", pa.int64())])
-    counts: dict[tuple[int, int, int], int] = {}
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hash, encoding, length class and bin of each batch's distinct runs."""
+    schema = pa.schema([("run", pa.int64()), ("code", pa.int32()), ("length", pa.int32()), ("bin", pa.int32())])
     for batch in batches:
+        found: dict[str, tuple[int, int, int]] = {}
         for text in batch.column(0).to_pylist():
-            for *_, code, length, b in candidates(text or ""):
-                counts[code, length, b] = counts.get((code, length, b), 0) + 1
-    if counts:
-        yield batch_of(schema, [*map(list, zip(*counts, strict=True)), list(counts.values())])
+            text = text or ""
+            for s, e, *rest in candidates(text):
+                found[text[s:e]] = tuple(rest)
+        if found:
+            names = [int.from_bytes(hashlib.blake2b(run.encode(), digest_size=8).digest(), "big", signed=True) for run in found]
+            yield batch_of(schema, [names, *map(list, zip(*found.values(), strict=True))])
+
+
+def histogram(rows: DataFrame) -> list[tuple[int, int, int, int]]:
+    """Encoding, length class, bin and number of the distinct runs in the column `text`. A run counts once however often it
+    occurs: copies and boilerplate say nothing of how many ordinary runs look random. Runs are told apart by 64-bit hashes."""
+    runs = rows.select("text").mapInArrow(_distinct, "run long, code int, length int, bin int").distinct()
+    return [tuple(r) for r in runs.groupBy("code", "length", "bin").agg(F.count("*").alias("n")).collect()]
 
 
 def thresholds(counts: list[tuple[int, int, int, int]], fdr: float = FDR) -> dict[tuple[int, int], int]:
@@ -177,9 +187,8 @@ def secret_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fdr
     random:start:end; code points, end exclusive).
 
     Null texts are empty; without spans the counts are 0, `spans` is empty and the digest is that of no bytes. Repeated rows
-    get equal results, and count as often as they occur in the corpus histogram (encodings x length classes x bins at most,
-    which is all that reaches the driver). An empty table gives no rows; other columns are ignored.
+    get equal results, and repeated runs count once in the corpus histogram (encodings x length classes x bins at most, which
+    is all that reaches the driver). An empty table gives no rows; other columns are ignored.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    counts = rows.select("text").mapInArrow(_count, "code int, length int, bin int, n long").groupBy("code", "length", "bin").agg(F.sum("n").alias("n")).collect()
-    return rows.mapInArrow(_scan(thresholds([tuple(r) for r in counts], fdr)), OUT)
+    return rows.mapInArrow(_scan(thresholds(histogram(rows), fdr)), OUT)

@@ -102,6 +102,24 @@ def test_random_strings_are_told_from_words():
     assert len(hit & set(keys)) >= 240 and len(hit & set(names)) <= 0.1 * len(hit)
 
 
+def test_repeats_do_not_move_the_threshold(spark):
+    import random
+
+    rng = random.Random(5)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    keys = ["".join(rng.choices(alphabet, k=40)) for _ in range(300)]
+    names = ["/".join(rng.choices(["home", "user", "lib", "python3", "site", "packages", "index"], k=9)) for _ in range(300)]
+    of = lambda low, high: next(x for x in keys if low < secrets.battery(x)[1] < high)
+    rows = list(enumerate(keys + names))
+    once = {r.doc_id: r.spans for r in secrets.secret_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(once[i] != "" for i in range(300)) >= 240
+    for text in (of(0.15, 0.3), of(0.65, 0.9)):
+        # within a text and over copies of texts
+        again = [(1000, f"{text} " * 3000)] + [(1001 + i, text) for i in range(3000)]
+        got = {r.doc_id: r.spans for r in secrets.secret_scan(spark.createDataFrame(rows + again, "doc_id long, text string")).collect()}
+        assert {i: got[i] for i in once} == once
+
+
 def test_no_rows(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert secrets.secret_scan(none).collect() == [] == pii.pii_scan(none).collect()
