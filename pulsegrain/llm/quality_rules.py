@@ -2,14 +2,15 @@
 
 Each rule votes that a text is bad (1), that it is good (-1), or abstains (0). Vote patterns are counted over the whole
 table, which leaves a row for each pattern at most (3 to the number of rules). Expectation-maximisation on those counts
-estimates the shares of good texts and of each kind of bad ones, and how often each rule votes which way in each; the
-posterior of a text's pattern decides, in place of passing every rule.
+estimates the shares of good texts and of a few kinds of bad ones that the rules share, and how often each rule votes for
+bad in each; the posterior of a text's pattern decides, in place of passing every rule.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -121,10 +122,71 @@ def estimate(counts: dict[tuple[int, ...], int], rounds: int = ROUNDS) -> tuple[
     return prior, rates
 
 
+def _fit(votes: np.ndarray, counts: np.ndarray, share: np.ndarray, rounds: int = 300) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    """EM from `share` (patterns x classes): log likelihood, shares of the classes, rates of votes for bad (classes x rules),
+    and the new `share`. All that is set beforehand is what a vote for bad means: in each kind of bad texts a rule votes so
+    at least as often as in good ones (class 0), where the rates would say otherwise they are pooled."""
+    total, before = counts.sum(), -math.inf
+    overall = counts @ votes / total
+    while True:
+        mass = counts[:, None] * share
+        n = mass.sum(0) + 1  # with one text of the overall rates
+        hits = mass.T @ votes + overall
+        rate = hits / n[:, None]
+        for j in range(votes.shape[1]):
+            pool = [0]
+            while True:
+                least = hits[pool, j].sum() / n[pool].sum()
+                low = [k for k in range(1, len(n)) if k not in pool and rate[k, j] < least]
+                if not low:
+                    break
+                pool.append(min(low, key=lambda k: rate[k, j]))
+            rate[pool, j] = least
+        rate = np.clip(rate, 1e-9, 1 - 1e-9)
+        prior = (n - 0.5) / (total + 0.5 * len(n))
+        logs = np.log(prior) + votes @ np.log(rate).T + (1 - votes) @ np.log(1 - rate).T
+        top = logs.max(1, keepdims=True)
+        each = top[:, 0] + np.log(np.exp(logs - top).sum(1))
+        likelihood, share = float(counts @ each), np.exp(logs - each[:, None])
+        rounds -= 1
+        if rounds <= 0 or likelihood - before < 1e-6:
+            return likelihood, prior, rate, share
+        before = likelihood
+
+
+def shared_kinds(counts: dict[tuple[int, ...], int]) -> tuple[list[float], list[list[float]]]:
+    """The share of each class, and in each the rate of every rule's votes for bad. Class 0 is the good texts, the others are
+    kinds of bad ones: fewer than rules, and one more only while it raises the log likelihood by more than its parameters
+    cost (Schwarz). A kind has to explain which rules vote together or keep apart; a rule that votes at random does so alike
+    in all classes, gives no kind of its own, and has no weight.
+
+    Rules vote independently given the class. Votes for good and abstentions are both no votes for bad: they only tell the
+    rule's own kind, and classes by them would split good texts, say those with few repeated lines from those with none.
+    """
+    merged: dict[tuple[int, ...], int] = {}
+    for p, n in counts.items():
+        key = tuple(int(v > 0) for v in p)
+        merged[key] = merged.get(key, 0) + n
+    if not merged:
+        return [1.0], [[]]
+    votes, weights = np.array(sorted(merged), float), np.array([merged[p] for p in sorted(merged)], float)
+    m = votes.shape[1]
+    best = _fit(votes, weights, np.ones((len(votes), 1)))
+    for _ in range(m - 1):
+        # a further kind begins with the texts that a rule votes against, or with those of them that others do too
+        begins = [w for j in range(m) for w in (votes[:, j], votes[:, j] * (votes.sum(1) > 1)) if w.any()]
+        tries = [_fit(votes, weights, np.hstack([best[3] * (1 - 0.9 * w[:, None]), 0.9 * w[:, None]])) for w in begins]
+        more = max(tries, key=lambda x: x[0], default=best)
+        if more[0] - best[0] <= (m + 1) / 2 * math.log(weights.sum()):
+            break
+        best = more
+    return best[1].tolist(), best[2].tolist()
+
+
 def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed (fewer than 50 words, or more
-    than half of them in repeated 3-word windows), kept, and p_good, the posterior that the text is good (a half at least if
-    no rule votes against it). A text is kept if it has not base_failed and p_good is at least a half.
+    than half of them in repeated 3-word windows), kept, and p_good, the posterior that the text is good. A text
+    is kept if it has not base_failed and p_good is at least a half.
 
     Words are runs of non-blank characters. Null and empty texts have counts 0 and fail. Repeated rows get equal results and
     count each. An empty table gives no rows; other columns are ignored. Windows are compared by 64-bit hashes.
@@ -138,16 +200,13 @@ def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     rows = checkpointed(rows)
     # at most 3 ** 7 rows
     counts = {tuple(r[:-1]): r[-1] for r in rows.where("n_words > 0").groupBy(*names).count().collect()}
-    prior, rates = estimate(counts)
+    prior, rates = shared_kinds(counts)
     others = F.lit(0.0)
     for k in range(1, len(prior)):
-        odds = F.lit(prior[k] - prior[0])
-        for j, name in enumerate(names):
-            odds = odds + F.when(F.col(name) > 0, rates[k][j][1] - rates[0][j][1]).when(F.col(name) < 0, rates[k][j][-1] - rates[0][j][-1]).otherwise(rates[k][j][0] - rates[0][j][0])
+        odds = F.lit(math.log(prior[k] / prior[0]))
+        for name, bad, good in zip(names, rates[k], rates[0], strict=True):
+            odds = odds + F.when(F.col(name) > 0, math.log(bad / good)).otherwise(math.log((1 - bad) / (1 - good)))
         others = others + F.exp(odds)
-    good = 1 / (1 + others)
-    against = F.greatest(*names) > 0
-    good = F.when(against, good).otherwise(F.greatest(good, F.lit(0.5)))
-    out = rows.withColumn("p_good", F.when(F.col("n_words") > 0, good).otherwise(F.lit(0.0)))
+    out = rows.withColumn("p_good", F.when(F.col("n_words") > 0, 1 / (1 + others)).otherwise(F.lit(0.0)))
     kept = ~F.col("base_failed") & (F.col("p_good") >= 0.5)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "p_good")

@@ -1,9 +1,12 @@
 from __future__ import annotations
 
+import random
 import re
 from collections import Counter
 
-from pulsegrain.llm.quality_rules import estimate, quality_rules
+import pytest
+
+from pulsegrain.llm.quality_rules import estimate, quality_rules, shared_kinds
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -48,3 +51,42 @@ def test_verdict(spark):
     kept = {r.doc_id for r in quality_rules(spark.createDataFrame(clean + junk, "doc_id long, text string")).collect() if r.kept}
     assert kept == {i for i, _ in clean}
     assert quality_rules(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def good(prior: list[float], rates: list[list[float]], pattern: tuple[int, ...]) -> float:
+    each = []
+    for p, r in zip(prior, rates, strict=True):
+        for v, x in zip(pattern, r, strict=True):
+            p *= x if v > 0 else 1 - x
+        each.append(p)
+    return each[0] / sum(each)
+
+
+@pytest.mark.parametrize("often", [0.005, 0.02, 0.1, 0.3])
+def test_a_random_rule_loses_its_weight(often):
+    rng = random.Random(7)
+    counts: Counter = Counter()
+    for i in range(10000):
+        kind = i % 20  # junk: rules 0 and 1, and 2 half the time; a kind that only rule 3 sees and the others do not share
+        votes = [kind == 0 and rng.random() < 0.9, kind == 0 and rng.random() < 0.9, kind == 0 and rng.random() < 0.5, kind in (1, 2) and rng.random() < 0.9]
+        counts[tuple(1 if v else -1 for v in [*votes, rng.random() < often])] += 1
+    prior, rates = shared_kinds(counts)
+    assert 1 < len(prior) <= 5
+    assert good(prior, rates, (-1, -1, -1, -1, 1)) > 0.8 and good(prior, rates, (-1, -1, -1, -1, -1)) > 0.8
+    assert good(prior, rates, (1, 1, -1, -1, -1)) < 0.05 and good(prior, rates, (1, 1, 1, -1, 1)) < 0.05
+    assert good(prior, rates, (-1, -1, -1, 1, -1)) < 0.5
+
+
+def test_no_votes():
+    assert shared_kinds({}) == ([1.0], [[]])
+    prior, rates = shared_kinds({(-1, 0, -1): 50})
+    assert len(prior) == 1 and all(0 < r < 1 for r in rates[0])
+
+
+def test_a_random_rule_drops_no_text(spark):
+    rng = random.Random(2)
+    # bangs at random in a tenth of all texts; junk has symbols and capitals
+    text = lambda i, junk, bang: " ".join((f"BUY{(i * 31 + j * j) % 997} ###" if junk else f"Word{(i * 37 + j * j) % 997} of") + (" wow!!!!!!!!" if bang and j % 9 == 0 else "") for j in range(60))
+    rows = [(i, text(i, i % 10 == 0, rng.random() < 0.1)) for i in range(600)]
+    kept = {r.doc_id for r in quality_rules(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.kept}
+    assert kept == {i for i, _ in rows if i % 10}
