@@ -111,6 +111,28 @@ def fuzzy_pairs(left: DataFrame, left_text: str, right: DataFrame, right_text: s
     return near.where("distance >= 0").select("left", "right", "distance")
 
 
+def near_pairs(left: DataFrame, left_text: str, right: DataFrame, right_text: str, most: int) -> DataFrame:
+    """Distinct texts of either side within `most` edits, wherever the edits fall: left, right, distance.
+
+    Of `most` + 1 pieces of the left text one at least stands unchanged in the right text, shifted by `most` places at most;
+    pairs are joined on such a piece and then compared whole. Pieces of texts shorter than that are empty and always equal."""
+    k = F.lit(most)
+    numbers = F.sequence(F.lit(0), k)
+    start = lambda n, i: F.floor(n * i / (most + 1)).cast("int")
+    size = lambda n, i: start(n, i + 1) - start(n, i)
+    key = lambda n, i, text, at: F.struct(n.alias("n"), i.alias("i"), F.substring(text, at + 1, size(n, i)).alias("piece"))
+    a = left.select(F.col(left_text).alias("left")).where("left IS NOT NULL").distinct()
+    a = a.select("left", F.explode(F.transform(numbers, lambda i: key(F.length("left"), i, F.col("left"), start(F.length("left"), i)))).alias("key_"))
+    b = right.select(F.col(right_text).alias("right")).where("right IS NOT NULL").distinct()
+    r = F.length("right")
+    places = lambda n, i: F.sequence(F.greatest(F.lit(0), start(n, i) - k), F.least(r - size(n, i), start(n, i) + k))
+    fits = lambda n, i: F.greatest(F.lit(0), start(n, i) - k) <= F.least(r - size(n, i), start(n, i) + k)
+    keys = F.transform(F.sequence(F.greatest(F.lit(0), r - k), r + k), lambda n: F.flatten(F.transform(F.filter(numbers, lambda i: fits(n, i)), lambda i: F.transform(places(n, i), lambda at: key(n, i, F.col("right"), at)))))
+    b = b.select("right", F.explode(F.array_distinct(F.flatten(keys))).alias("key_"))
+    near = a.join(b, "key_").select("left", "right").distinct().withColumn("distance", F.levenshtein("left", "right", most))
+    return near.where("distance >= 0")
+
+
 def prefix_then_fuzzy(texts: DataFrame, text: str, needles: DataFrame, needle: str, prefix: int, most: int) -> DataFrame:
     """Distinct texts and needles with the same first `prefix` characters whose rests lie within `most` edits and the wholes too."""
     hits = fuzzy_pairs(needles, needle, texts, text, prefix, most)

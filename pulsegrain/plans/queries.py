@@ -297,6 +297,12 @@ def fuzzy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.fuzzy_pairs(part, "p_name", part, "p_name", 3, 4)
 
 
+@query()
+def fuzzy_match_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    return search.near_pairs(part, "p_name", part, "p_name", 4)
+
+
 @query(
     """SELECT n AS needle, p_name AS text, CAST(levenshtein(n, p_name) AS INT) AS distance FROM (SELECT DISTINCT p_name FROM part) p JOIN (SELECT DISTINCT p_type, lower(p_type) || ' rang' AS n FROM part) t
 ON substring(n, 1, 4) = substring(p_name, 1, 4) WHERE levenshtein(n, p_name) <= 3 AND levenshtein(substring(n, 5), substring(p_name, 5)) <= 3"""

@@ -71,6 +71,24 @@ def test_near_and_corrupted(spark):
     assert best == {1: 0, 2: 1, 3: 1}
 
 
+def test_near_pairs_like_brute_force(spark):
+    def edits(a: str, b: str) -> int:
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, old = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+        return row[-1]
+
+    rng = random.Random(4)
+    texts = ["", "a", "ab", "red bolt", "bed bolt", "d bolt", "xxred bolt", "é😀 bolt"] + ["".join(rng.choices("abc", k=rng.randrange(14))) for _ in range(60)]
+    df = spark.createDataFrame([(x,) for x in [*texts, "red bolt", None]], "t string")
+    for most in (0, 1, 4):
+        got = search.near_pairs(df, "t", df, "t", most).collect()
+        want = {(a, b, d) for a in texts for b in texts if (d := edits(a, b)) <= most}
+        assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
 def test_sign_codes(spark):
     df = long_form(spark, [3, 2, 2, 3])
     assert [r.sign for r in sequence.ordinal(df, ["k"], "pos", "v", padding=False).orderBy("pos").collect()] == [-1, 0, 1]
