@@ -7,7 +7,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from pulsegrain.llm import decontamination, mixing, ngram_join, pii, quality_classifier
+from pulsegrain.llm import mixing, ngram_join, quality_classifier
 
 BENCH = "which of these towns lies nearest to the mouth of the long river in the north"
 
@@ -63,7 +63,6 @@ def test_stages(spark, tables, tmp_path):
     taken = mixing.mix_sizes(before)
     assert after.selectExpr("sum(copies)").first()[0] == taken.selectExpr("sum(copies)").first()[0]
     assert sorted(map(str, corpus_pipeline.run(spark, tables).collect())) == sorted(map(str, after.collect()))
-    assert decontamination.LEAST <= len(BENCH) and pii.KINDS[0] == "email"
 
 
 def test_empty_tables(spark, tables, tmp_path):
