@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: A side of a join is broadcast only when its measured size is at most this; beyond it the join shuffles.
 BROADCAST_BYTES = 8 << 20
+#: Spark's setting of rows in an Arrow batch, and what the operators make of its default.
+ROWS, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,10 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder that `spark.checkpoint.dir` names; a folder of its own only where that is unset, as in tests."""
+    """The shared folder that `spark.checkpoint.dir` names; a folder of its own only where that is unset and all run on one
+    machine, as in tests. ValueError on a cluster without one."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp("checkpoints"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp("checkpoints"))
     return context.getCheckpointDir()
 
 
@@ -40,6 +48,15 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """`df.mapInArrow`, with the session's Arrow batches cut to BATCH_ROWS where they are at Spark's default of 10000: texts are
+    long, and a batch is in memory several times, in the JVM and in the worker."""
+    conf = df.sparkSession.conf
+    if conf.get(ROWS) == "10000":
+        conf.set(ROWS, str(BATCH_ROWS))
+    return df.mapInArrow(function, schema)
+
+
 def broadcast_if_small(df: DataFrame, row_bytes: int) -> DataFrame:
     """`df` with a broadcast hint if its counted rows fit BROADCAST_BYTES, else unchanged. Counts `df`: pass it checkpointed."""
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
@@ -55,7 +72,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), ends
 
 
-def pieces(ends: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def pieces(ends: np.ndarray, limit: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Row ranges of at most `limit` bytes, or of one row."""
     a, n = 0, len(ends) - 1
     while a < n:
@@ -83,7 +100,29 @@ def binaries(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * width).astype(np.int32).tobytes()), pa.py_buffer(rows.tobytes())])
 
 
-def by_key(batches: Iterator[pa.RecordBatch], keys: list[str], limit: int = 16 << 20) -> Iterator[pa.Table]:
+def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of a binary column without nulls, and its rows' offsets in them; nothing is copied."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+        column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) if offsets is not None and offsets.size else np.zeros(1, np.int64)
+    return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), ends
+
+
+def long_rows(ends: np.ndarray, limit: int, overlap: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows in portions of about `limit` bytes: numbers of the rows, where each part begins in its row, and the bounds of the
+    parts in the data (one more than rows). A longer row comes in parts of its own that share `overlap` bytes with the next."""
+    for a, b in pieces(ends, limit):
+        size = int(ends[b] - ends[a])
+        if b - a > 1 or size <= limit + overlap:
+            yield np.arange(a, b), np.zeros(b - a, np.int64), ends[a : b + 1]
+        else:
+            for z in range(0, size - overlap, limit):
+                yield np.array([a]), np.array([z]), ends[a] + np.array([z, min(size, z + limit + overlap)])
+
+
+def by_key(batches: Iterator[pa.RecordBatch], keys: list[str], limit: int = 8 << 20) -> Iterator[pa.Table]:
     """Sorted batches regrouped so that no run of equal `keys` is cut; each table holds whole runs, several where they are short."""
     held: list[pa.RecordBatch] = []
     for batch in batches:

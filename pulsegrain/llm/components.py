@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import broadcast_if_small, written
 
 
 def _digest(edges: DataFrame) -> tuple:
@@ -15,21 +15,23 @@ def _digest(edges: DataFrame) -> tuple:
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Node, and the smallest node of its component as `root`, for all nodes of `edges`.
 
-    Each step aggregates neighbours to their minimum before joining, so a hub costs its edges and no pairs.
-    Steps are logarithmic in number; each is checkpointed. An empty edge list gives no rows; loops and repeats are harmless.
+    Each step aggregates neighbours to their minimum before joining, so a hub costs its edges and no pairs; the minima are a
+    table of their own, which is broadcast while it is small, and beyond that lets the join split a hub's edges.
+    Steps are logarithmic in number; each is a table in the folder of checkpoints. (A checkpoint would carry on the planner's
+    estimate of its size, which joins multiply, until its digits take longer than all else.) An empty edge list gives no rows; loops and repeats are harmless.
     """
     nodes = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
-    now = checkpointed(nodes.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
+    now = written(nodes.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
     before = _digest(now)
     while before[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = checkpointed(large)
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        pairs = large.join(low, "u")
+        low = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = both.join(broadcast_if_small(low, 32), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = written(large)
+        low = written(large.groupBy("u").agg(F.min("v").alias("m")))
+        pairs = large.join(broadcast_if_small(low, 32), "u")
         small = pairs.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        now = checkpointed(small)
+        now = written(small)
         after = _digest(now)
         if after == before:
             break

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .common import batch_of, broadcast_if_small, checkpointed, joined, pieces, runs, utf8
+from .common import arrow, batch_of, broadcast_if_small, checkpointed, joined, pieces, runs, utf8
 
 RATE = 0.05
 #: Bytes from which an item may have an edit, and from which its q-grams are long; bytes under which it must stand as words.
@@ -372,8 +372,8 @@ def _by_join(texts: DataFrame, items: DataFrame) -> DataFrame:
         t = _FOLD[np.frombuffer(bytes(r.t), np.uint8)]
         bits.add(H.rolling(t, gram_length(len(t))))
         lengths.add(gram_length(len(t)))
-    postings = items.select("key", "t").mapInArrow(_postings, "gram long, key long, m long, place long")
-    hits = texts.select("h", "g", "text").mapInArrow(_hits(bits, sorted(lengths)), "h long, g long, gram long, place long").distinct()
+    postings = arrow(items.select("key", "t"), _postings, "gram long, key long, m long, place long")
+    hits = arrow(texts.select("h", "g", "text"), _hits(bits, sorted(lengths)), "h long, g long, gram long, place long").distinct()
     e = F.floor(F.col("m") * RATE + 1e-9)
     q = F.when(F.col("m") < EDITED, F.col("m")).when(F.col("m") < LONG, SHORT_Q).otherwise(Q)
     shared = hits.join(postings.withColumnRenamed("place", "at"), "gram").withColumn("band", F.floor((F.col("place") - F.col("at")) / (2 * e + 1)))
@@ -381,11 +381,11 @@ def _by_join(texts: DataFrame, items: DataFrame) -> DataFrame:
     wanted = shared.groupBy("h", "g", "key", "m", "band").agg(F.count("*").alias("n")).where(F.col("n") >= F.col("m") - q + 1 - q * e)
     wanted = checkpointed(wanted.groupBy("h", "g").agg(F.collect_list(F.struct("key", "m", "band")).alias("found")))
     some = texts.select("h", "g", "text").join(broadcast_if_small(wanted.select("h", "g"), 24), ["h", "g"], "left_semi").dropDuplicates(["h", "g"]).join(wanted, ["h", "g"])
-    parts = some.select("h", "g", "text", "found").mapInArrow(_regions, "h long, g long, key long, at long, point long, before int, after int, part binary")
+    parts = arrow(some.select("h", "g", "text", "found"), _regions, "h long, g long, key long, at long, point long, before int, after int, part binary")
     both = parts.join(items, "key").select("h", "g", "point", "before", "after", "part", "i", "t")
-    found = both.mapInArrow(_align, "h long, g long, item long, start long, end long, edits long")
+    found = arrow(both, _align, "h long, g long, item long, start long, end long, edits long")
     found = found.groupBy("h", "g").agg(F.collect_list(F.struct("item", "start", "end", "edits")).alias("found"))
-    return checkpointed(found.mapInArrow(_spans, "h long, g long, spans array<string>, items array<long>"))
+    return checkpointed(arrow(found, _spans, "h long, g long, spans array<string>, items array<long>"))
 
 
 def _hashes(text: Column) -> list[Column]:
@@ -412,7 +412,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc
     items = _items(benchmark, item_id, item_text)
     small = _small(items)
     if small is not None:
-        found = rows.mapInArrow(_search(small, False), "doc_id long, spans array<string>, items array<long>")
+        found = arrow(rows, _search(small, False), "doc_id long, spans array<string>, items array<long>")
     else:
         keyed = rows.select("doc_id", "text", *_hashes(F.col("text")))
         every = _by_join(keyed.where("text IS NOT NULL"), items)
@@ -427,7 +427,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = _items(benchmark, "item_id", "text")
     small = _small(items)
     if small is not None:
-        return docs.mapInArrow(_search(small, True), docs.schema)
+        return arrow(docs, _search(small, True), docs.schema)
     found = _by_join(docs.where("text IS NOT NULL").select("text", *_hashes(F.col("text"))), items).select(F.col("h").alias("h_"), F.col("g").alias("g_"))
     h, g = (c for c in (F.xxhash64("text"), F.xxhash64(F.lit(7), "text")))
     return docs.join(broadcast_if_small(found, 24), (h == F.col("h_")) & (g == F.col("g_")) & F.col("text").isNotNull(), "left_anti")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, utf8
+from .common import arrow, pieces, utf8
 
 WINDOW, WIDTHS, FILTERS, SYMBOLS = 256, (2, 3, 4), 12, 128
 #: Labelled texts that are sampled for training (those of least hash), windows of each, passes, batch, step, seed.
@@ -159,7 +159,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     rows = rows.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
     order = F.xxhash64(F.lit(SEED), F.col("doc_id"))
     picked = rows.select("doc_id").distinct().orderBy(order, "doc_id").limit(sample).withColumnRenamed("doc_id", "p")
-    got = rows.join(F.broadcast(picked), F.col("doc_id") == F.col("p")).select("doc_id", "lang", "text").mapInArrow(_cut, "d long, lang string, window binary").collect()
+    got = arrow(rows.join(F.broadcast(picked), F.col("doc_id") == F.col("p")).select("doc_id", "lang", "text"), _cut, "d long, lang string, window binary").collect()
     got.sort(key=lambda r: (r.d, r.lang, bytes(r.window)))
     languages = sorted({r.lang for r in got})
     if not languages:
@@ -185,4 +185,4 @@ def language_id(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lan
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double").select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    return arrow(rows, run, "doc_id long, lang_pred string, score double").select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .common import batch_of, broadcast_if_small, checkpointed, joined, pieces, utf8
+from .common import arrow, batch_of, broadcast_if_small, checkpointed, joined, pieces, utf8
 
 K = 2
 #: The base phrases and their labels.
@@ -120,7 +120,7 @@ def license_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("hash"), F.col(text).alias("text"))
-    grams = rows.mapInArrow(_grams, "doc_id long, hash long, grams array<long>")
+    grams = arrow(rows, _grams, "doc_id long, hash long, grams array<long>")
     hits = grams.select("doc_id", "hash", F.posexplode("grams").alias("pos", "gram")).join(F.broadcast(template_grams(spark)), "gram")
     hits = hits.select("doc_id", "hash", "template", (F.col("pos") - F.col("place")).alias("diagonal"), "pos").dropDuplicates()
     lines = hits.groupBy("doc_id", "hash", "template", "diagonal").agg(F.count("*").alias("votes"), F.min("pos").alias("first"), (F.max("pos") + K).alias("last"))
@@ -138,4 +138,4 @@ def license_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     size = spans.agg(F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()[0]
     side = broadcast_if_small(spans, 64) if size * 24 <= 4 << 20 else spans
     whole = rows.join(side, rows.doc_id.eqNullSafe(F.col("d")) & (rows.hash == F.col("h")), "left")
-    return whole.select("doc_id", "text", "spans").mapInArrow(_verified, OUT)
+    return arrow(whole.select("doc_id", "text", "spans"), _verified, OUT)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, checkpointed
+from .common import arrow, batch_of, checkpointed
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns; an address is found from its @ outwards, which gives the same matches as
@@ -188,9 +188,7 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> list[float]:
     """Weights of the span classifier. Votes are counted over all rows; at most `sample` distinct feature patterns, those
     of least hash, train the classifier."""
-    found = docs.select(F.col(text)).mapInArrow(_gather, "votes string, features string, n long").groupBy("votes", "features").agg(F.sum("n").alias("n"))
-    from .common import checkpointed
-
+    found = arrow(docs.select(F.col(text)), _gather, "votes string, features string, n long").groupBy("votes", "features").agg(F.sum("n").alias("n"))
     found = checkpointed(found)
     counts = {tuple(map(int, r.votes.split(","))): r.n for r in found.groupBy("votes").agg(F.sum("n").alias("n")).collect()}
     post = estimate(counts)
@@ -252,7 +250,7 @@ def pii_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     get equal results. An empty table gives no rows; other columns are ignored.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(_scan(fit(rows)), OUT)
+    return arrow(rows, _scan(fit(rows)), OUT)
 
 
 def pii_mask(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -265,4 +263,4 @@ def pii_mask(docs: DataFrame, text: str = "text") -> DataFrame:
             done = pa.array([None if t is None else mask(t, weights) for t in batch.column(at).to_pylist()], batch.schema.field(at).type)
             yield batch.set_column(at, batch.schema.field(at), done)
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow(docs, run, docs.schema)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .common import batch_of, broadcast_if_small, joined, pieces, runs, utf8
+from .common import arrow, batch_of, broadcast_if_small, joined, pieces, runs, utf8
 
 #: Texts per class that are sampled for training (those of least hash), hidden units, steps, batch, step, seed.
 SAMPLE, HIDDEN, ROUNDS, BATCH, STEP, SEED = 8000, 24, 700, 1536, 0.01, 7
@@ -236,7 +236,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     positive = ids.join(trusted, F.col("doc_id") == F.col("l"), "left_semi").distinct().orderBy(order, "doc_id").limit(sample).withColumn("y", F.lit(1))
     unlabelled = ids.distinct().orderBy(F.xxhash64(F.lit(SEED + 1), F.col("doc_id")), "doc_id").limit(sample).withColumn("y", F.lit(0))
     picked = positive.unionByName(unlabelled).withColumnRenamed("doc_id", "d")
-    got = rows.join(F.broadcast(picked), F.col("doc_id") == F.col("d")).select("d", "y", "text").mapInArrow(_described(2), "d long, y int, x array<double>").collect()
+    got = arrow(rows.join(F.broadcast(picked), F.col("doc_id") == F.col("d")).select("d", "y", "text"), _described(2), "d long, y int, x array<double>").collect()
     got.sort(key=lambda r: (r.y, r.d, r.x))
     p, u = (np.array([r.x for r in got if r.y == y]) for y in (1, 0))
     return train(p, u) if len(p) >= 2 and len(u) >= 2 else None
@@ -265,11 +265,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
     """
     model = fit(docs, labels, doc_id, text)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    scored = rows.mapInArrow(_scored(model[0] if model else None, 1), "doc_id long, score double")
+    scored = arrow(rows, _scored(model[0] if model else None, 1), "doc_id long, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = CUT) -> DataFrame:
     """The rows of `docs` (doc_id and text among their columns) whose score is at least `least`, with all their columns; cases as in quality_scores."""
     model = fit(docs, labels)
-    return docs.mapInArrow(_scored(model[0] if model else None, docs.columns.index("text"), least), docs.schema)
+    return arrow(docs, _scored(model[0] if model else None, docs.columns.index("text"), least), docs.schema)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of
+from .common import arrow, batch_of
 
 #: The base patterns by kind, in their order.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -127,7 +127,7 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def histogram(rows: DataFrame) -> list[tuple[int, int, int, int]]:
     """Encoding, length class, bin and number of the distinct runs in the column `text`. A run counts once however often it
     occurs: copies and boilerplate say nothing of how many ordinary runs look random. Runs are told apart by 64-bit hashes."""
-    runs = rows.select("text").mapInArrow(_distinct, "run long, code int, length int, bin int").distinct()
+    runs = arrow(rows.select("text"), _distinct, "run long, code int, length int, bin int").distinct()
     return [tuple(r) for r in runs.groupBy("code", "length", "bin").agg(F.count("*").alias("n")).collect()]
 
 
@@ -191,4 +191,4 @@ def secret_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fdr
     is all that reaches the driver). An empty table gives no rows; other columns are ignored.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(_scan(thresholds(histogram(rows), fdr)), OUT)
+    return arrow(rows, _scan(thresholds(histogram(rows), fdr)), OUT)

@@ -5,8 +5,9 @@ suffix buckets by the least hash of the 32-byte strings in the window, which dep
 windows share a bucket; neighbouring windows share it too, so that a bucket gets them as one stretch of text. Stretches
 whose bucket or whose bytes settle the matter need no sorting. For the others one block of buckets after the other is
 sorted: by the first 32 bytes, and ties by the ranks of a difference-cover sample of the block, computed beforehand.
-Memory is that of a block of buckets, never that of the text: a bucket that many texts share, such as that of a common line,
-is dealt anew with each whole window as a bucket of its own.
+Memory is that of a block of buckets, never that of the text: long texts are cut into overlapping chunks and long stretches
+into shorter ones, and a bucket of many bytes, such as that of a common line, is dealt anew with each whole window as a bucket
+of its own. Stretches that are removed unsorted, as copies of another, are told by three hashes of two kinds (190 bits).
 """
 
 from __future__ import annotations
@@ -21,11 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .common import batch_of, broadcast_if_small, by_key, checkpointed, joined, pieces, runs, utf8, written
+from .common import arrow, batch_of, broadcast_if_small, by_key, checkpointed, joined, long_rows, pieces, runs, utf8, written
 
 LENGTH, ANCHOR, PERIOD = 100, 32, 32
-#: Buckets with more open stretches than this are dealt anew by whole windows, so that no block outgrows a task.
-CROWD = 50_000
+#: Buckets whose open stretches have more bytes than this are dealt anew by whole windows, so that no block outgrows a task.
+CROWD = 2 << 20
+#: Bytes of a text that are cut into stretches at once, windows of a stretch at most, and bytes of a block of buckets.
+CHUNK, MOST, BLOCK_BYTES = 1 << 19, 1 << 14, 1 << 20
 
 
 def difference_cover(v: int) -> np.ndarray:
@@ -45,12 +48,13 @@ SHIFT = np.array([[next(d for d in range(PERIOD) if _IN[(i + d) % PERIOD] and _I
 
 
 def stretches(buf: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of each row's windows the maximal runs in one bucket: row, first window, number of windows, bucket, hash of the bytes
-    they span, and whether the least hash stands there twice, without which no two of the windows can be equal."""
+    """Of each row's windows the runs in one bucket, of MOST windows at most: row, first window, number of windows, bucket, two
+    hashes of the bytes they span, and whether the least hash stands there twice, without which no two of the windows can be
+    equal."""
     n = np.maximum(0, sizes - LENGTH + 1)
     if not n.sum():
         z = np.zeros(0, np.int64)
-        return z, z, z, z.astype(np.uint64), z.astype(np.uint64), z > 0
+        return z, z, z, z.astype(np.uint64), z.astype(np.uint64), z.astype(np.uint64), z > 0
     need = LENGTH - ANCHOR + 1
     hashes = H.rolling(buf, ANCHOR)
     low = _slide(np.minimum, hashes, need)
@@ -58,10 +62,12 @@ def stretches(buf: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> tuple[np.nd
     place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
     least = low[at[row] + place]
     cut = runs(least, row)
+    inside = np.arange(len(row)) - np.repeat(cut[:-1], np.diff(cut))
+    cut = np.append(np.flatnonzero(inside % MOST == 0), len(row))
     first, count = cut[:-1], np.diff(cut)
+    goes_on = inside[first] > 0
     a = at[row[first]] + place[first]
     b = a + count + LENGTH - 1
-    content = H.word_hashes(buf, a, b)
     # a place holds the least hash of some window if the largest of its windows' least hashes is its own
     padded = np.concatenate([np.full(need - 1, low[0]), low, np.full(need - 1, low[-1])])
     anchors = np.flatnonzero(_slide(np.maximum, padded, need)[: len(hashes)] == hashes)
@@ -72,7 +78,9 @@ def stretches(buf: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> tuple[np.nd
     window = window[low[window] == hashes[left[doc >= 0]]]
     twice = np.zeros(len(first), bool)
     twice[np.searchsorted(a, window, side="right") - 1] = True
-    return row[first], place[first], count, least[first], content, twice
+    # the first of two equal windows begins up to `need` before its anchor, which may be in the part before
+    twice[:-1] |= twice[1:] & goes_on[1:]
+    return row[first], place[first], count, least[first], H.word_hashes(buf, a, b), H.check_hashes(buf, a, b), twice
 
 
 def _slide(of: np.ufunc, values: np.ndarray, need: int) -> np.ndarray:
@@ -84,41 +92,45 @@ def _slide(of: np.ufunc, values: np.ndarray, need: int) -> np.ndarray:
     return of(values[: len(values) - (need - width)], values[need - width :]) if need > width else values
 
 
+STRETCH = "bucket long, salt int, content long, check long, doc long, sub long, first int, n int, twice boolean"
+_STRETCH = pa.schema([("bucket", pa.int64()), ("salt", pa.int32()), ("content", pa.int64()), ("check", pa.int64()), ("doc", pa.int64()), ("sub", pa.int64()), ("first", pa.int32()), ("n", pa.int32()), ("twice", pa.bool_())])
+ORDER = ("bucket", "salt", "content", "check", "doc", "sub", "first")
+
+
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each stretch; those whose bytes stand earlier in the same batch are settled (salt > 0), which keeps copies from piling up."""
-    schema = pa.schema([("bucket", pa.int64()), ("salt", pa.int32()), ("content", pa.int64()), ("doc", pa.int64()), ("sub", pa.int32()), ("first", pa.int32()), ("n", pa.int32()), ("twice", pa.bool_())])
     for batch in batches:
         doc, sub = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         data, ends = utf8(batch.column(2))
         parts = []
-        for a, b in pieces(ends):
-            buf, at = joined(data, ends, a, b, 10)
-            row, first, n, bucket, content, twice = stretches(buf, at, np.diff(ends[a : b + 1]))
-            parts.append((bucket.view(np.int64), content.view(np.int64), doc[a + row], sub[a + row], first, n, twice))
+        for rows, shift, bounds in long_rows(ends, CHUNK, LENGTH - 1):
+            buf, at = joined(data, bounds, 0, len(rows), 10)
+            row, first, n, bucket, content, check, twice = stretches(buf, at, np.diff(bounds))
+            parts.append((bucket.view(np.int64), content.view(np.int64), check.view(np.int64), doc[rows[row]], sub[rows[row]], first + shift[row], n, twice))
         if not parts:
             continue
-        bucket, content, d, s, first, n, twice = (np.concatenate(c) for c in zip(*parts, strict=True))
-        order = np.lexsort((first, s, d, content, bucket))
-        bucket, content, d, s, first, n, twice = (c[order] for c in (bucket, content, d, s, first, n, twice))
+        bucket, content, check, d, s, first, n, twice = (np.concatenate(c) for c in zip(*parts, strict=True))
+        del parts
+        order = np.lexsort((first, s, d, check, content, bucket))
+        bucket, content, check, d, s, first, n, twice = (c[order] for c in (bucket, content, check, d, s, first, n, twice))
         repeat = np.zeros(len(d), bool)
-        repeat[1:] = (bucket[1:] == bucket[:-1]) & (content[1:] == content[:-1])
+        repeat[1:] = (bucket[1:] == bucket[:-1]) & (content[1:] == content[:-1]) & (check[1:] == check[:-1])
         same = np.zeros(len(d), bool)
         same[1:] = repeat[1:] & (d[1:] == d[:-1]) & (s[1:] == s[:-1]) & (first[1:] == first[:-1])
         salt = np.where(repeat, 1 + (d + first) % 251, 0)
-        for z in range(0, len(d), 1 << 17):
-            here = np.flatnonzero(~same[z : z + (1 << 17)]) + z
-            yield batch_of(schema, [bucket[here], salt[here].astype(np.int32), content[here], d[here], s[here], first[here].astype(np.int32), n[here].astype(np.int32), twice[here]])
+        for z in range(0, len(d), 1 << 16):
+            here = np.flatnonzero(~same[z : z + (1 << 16)]) + z
+            yield batch_of(_STRETCH, [bucket[here], salt[here].astype(np.int32), content[here], check[here], d[here], s[here], first[here].astype(np.int32), n[here].astype(np.int32), twice[here]])
 
 
-STRETCH = "bucket long, salt int, content long, doc long, sub int, first int, n int, twice boolean"
-SETTLED = "doc long, sub int, first int, n int, bucket long, open boolean"
+SETTLED = "doc long, sub long, first int, n int, bucket long, open boolean"
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Stretches sorted by bucket, bytes and place: those whose bytes came before are removable whole; the first of each
     bytes stays open if its bucket has others, or if it may repeat within itself. Holds one row from batch to batch, however large a bucket is."""
-    schema = pa.schema([("doc", pa.int64()), ("sub", pa.int32()), ("first", pa.int32()), ("n", pa.int32()), ("bucket", pa.int64()), ("open", pa.bool_())])
-    last = held = None  # last: bucket, content, doc, sub, first of the row before; held: the first stretch of a bucket of one content so far
+    schema = pa.schema([("doc", pa.int64()), ("sub", pa.int64()), ("first", pa.int32()), ("n", pa.int32()), ("bucket", pa.int64()), ("open", pa.bool_())])
+    last = held = None  # last: the row before; held: the first stretch of a bucket of one content so far
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -131,7 +143,7 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
         head = np.arange(n) == 0 if last is None else np.zeros(n, bool)
         new_bucket = head | (before("bucket") != c["bucket"]) | settled | (before("salt") > 0)
-        new_content = new_bucket | (before("content") != c["content"])
+        new_content = new_bucket | (before("content") != c["content"]) | (before("check") != c["check"])
         same_place = ~new_content & (before("doc") == c["doc"]) & (before("sub") == c["sub"]) & (before("first") == c["first"])
         whole = settled | (~new_content & ~same_place)
         firsts = np.flatnonzero(new_content & ~settled)
@@ -154,7 +166,7 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc", pa.int64()), ("sub", pa.int32()), ("z", pa.binary()), ("doc_id", pa.int64())])
+    schema = pa.schema([("doc", pa.int64()), ("sub", pa.int64()), ("z", pa.binary()), ("doc_id", pa.int64())])
     for batch in batches:
         pack = zstandard.ZstdCompressor(level=1).compress
         data, ends = utf8(batch.column(2))
@@ -164,7 +176,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("bucket", pa.int64()), ("doc", pa.int64()), ("sub", pa.int32()), ("first", pa.int32()), ("bytes", pa.binary())])
+    schema = pa.schema([("bucket", pa.int64()), ("doc", pa.int64()), ("sub", pa.int64()), ("first", pa.int32()), ("bytes", pa.binary())])
     for batch in batches:
         unpack = zstandard.ZstdDecompressor().decompress
         rows, held = [], 0
@@ -173,7 +185,7 @@ def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for p in parts:
                 rows.append((p["bucket"], doc, sub, p["first"], text[p["first"] : p["first"] + p["n"] + LENGTH - 1]))
                 held += p["n"] + LENGTH
-            if held > 4 << 20:
+            if held > 1 << 20:
                 yield batch_of(schema, list(map(list, zip(*rows, strict=True))))
                 rows, held = [], 0
         if rows:
@@ -181,16 +193,25 @@ def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A stretch of one window for each window of the asked ones: the window is its own bucket."""
-    schema = pa.schema([("bucket", pa.int64()), ("salt", pa.int32()), ("content", pa.int64()), ("doc", pa.int64()), ("sub", pa.int32()), ("first", pa.int32()), ("n", pa.int32()), ("twice", pa.bool_())])
+    """A stretch of one window for each different window of the asked ones in a text: the window is its own bucket. Windows
+    that come again in the text are settled, those that follow each other as one stretch."""
     for batch in batches:
         unpack = zstandard.ZstdDecompressor().decompress
         for doc, sub, z, parts in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             text = np.frombuffer(unpack(z), np.uint8)
+            parts.sort(key=lambda p: p["first"])
             at = np.concatenate([np.arange(p["first"], p["first"] + p["n"]) for p in parts])
-            hashes = H.word_hashes(text, at, at + LENGTH).view(np.int64)
-            n = len(at)
-            yield batch_of(schema, [hashes, np.zeros(n, np.int32), hashes, np.full(n, doc), np.full(n, sub, np.int32), at.astype(np.int32), np.ones(n, np.int32), np.zeros(n, bool)])
+            hashes, check = H.word_hashes(text, at, at + LENGTH), H.check_hashes(text, at, at + LENGTH)
+            order = np.lexsort((at, check, hashes))
+            again = np.zeros(len(at), bool)
+            again[order[1:]] = (hashes[order[1:]] == hashes[order[:-1]]) & (check[order[1:]] == check[order[:-1]])
+            cut = np.flatnonzero(np.concatenate([[True], ~again[1:] | ~again[:-1] | (at[1:] != at[:-1] + 1)]))
+            n = np.diff(np.append(cut, len(at)))
+            for x in range(0, len(cut), 1 << 16):
+                here = cut[x : x + (1 << 16)]
+                k, h = len(here), hashes[here].view(np.int64)
+                salt = np.where(again[here], 1 + at[here] % 251, 0).astype(np.int32)
+                yield batch_of(_STRETCH, [h, salt, h, check[here].view(np.int64), np.full(k, doc), np.full(k, sub), at[here].astype(np.int32), n[x : x + (1 << 16)].astype(np.int32), np.zeros(k, bool)])
 
 
 class Sorter:
@@ -280,8 +301,8 @@ def repeated_windows(text: bytes, begin: np.ndarray, count: np.ndarray, group: n
 
 
 def _sorted_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc", pa.int64()), ("sub", pa.int32()), ("first", pa.int32()), ("n", pa.int32())])
-    for got in by_key(batches, ["bucket"], 2 << 20):
+    schema = pa.schema([("doc", pa.int64()), ("sub", pa.int64()), ("first", pa.int32()), ("n", pa.int32())])
+    for got in by_key(batches, ["bucket"], BLOCK_BYTES):
         texts = got["bytes"].to_pylist()
         length = np.array([len(x) for x in texts])
         begin = np.cumsum(length) - length
@@ -330,33 +351,30 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     before in the same document. Strings are judged on the input and never cross documents.
 
     A null text is empty; texts under 100 bytes stay. A null id counts as the smallest. Rows that share an id come in order
-    of their texts' hashes; rows that repeat id and text are one document and get equal results. An empty table gives no
-    rows; other columns are ignored. Equal stretches are told by 64-bit hashes of their bucket and of their bytes.
+    of their texts' hashes (64 bits); rows that repeat id and text are one document and get equal results. An empty table gives
+    no rows; other columns are ignored. Equal stretches are told by a hash of their bucket and two hashes of their bytes.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.hash(F.lit(7), body).alias("sub"), body.alias("text"), F.col(doc_id).cast("long").alias("doc_id"))
-    found = rows.where(F.octet_length("text") >= LENGTH).select("doc", "sub", "text").mapInArrow(_stretches, STRETCH)
-    found = found.repartition(parts, "bucket", "salt").sortWithinPartitions("bucket", "salt", "content", "doc", "sub", "first")
-    settled = written(found.mapInArrow(_settle, SETTLED))
-    packed = rows.mapInArrow(_packed, "doc long, sub int, z binary, doc_id long")
+    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.xxhash64(F.lit(7), body).alias("sub"), body.alias("text"), F.col(doc_id).cast("long").alias("doc_id"))
+    settle = lambda df: arrow(df.repartition(parts, "bucket", "salt").sortWithinPartitions(*ORDER), _settle, SETTLED)
+    settled = written(settle(arrow(rows.where(F.octet_length("text") >= LENGTH).select("doc", "sub", "text"), _stretches, STRETCH)))
+    packed = arrow(rows, _packed, "doc long, sub long, z binary, doc_id long")
     open_ = settled.where("open")
-    crowds = checkpointed(open_.groupBy("bucket").count().where(F.col("count") > CROWD).select("bucket"))
+    crowds = checkpointed(open_.groupBy("bucket").agg(F.sum(F.col("n").cast("long") + LENGTH - 1).alias("bytes")).where(F.col("bytes") > CROWD).select("bucket"))
     spread = None
     if crowds.head(1):
         crowds = broadcast_if_small(crowds, 16)
         many = open_.join(crowds, "bucket", "left_semi").groupBy("doc", "sub").agg(F.collect_list(F.struct("first", "n")).alias("parts"))
         open_ = open_.join(crowds, "bucket", "left_anti")
-        apart = packed.select("doc", "sub", "z").join(many, ["doc", "sub"]).select("doc", "sub", "z", "parts").mapInArrow(_windows, STRETCH)
-        apart = apart.repartition(parts, "bucket", "salt").sortWithinPartitions("bucket", "salt", "content", "doc", "sub", "first")
-        spread = apart.mapInArrow(_settle, SETTLED).select("doc", "sub", "first", "n")
+        spread = settle(arrow(packed.select("doc", "sub", "z").join(many, ["doc", "sub"]).select("doc", "sub", "z", "parts"), _windows, STRETCH)).select("doc", "sub", "first", "n")
     asked = open_.groupBy("doc", "sub").agg(F.collect_list(F.struct("bucket", "first", "n")).alias("parts"))
     whole = packed.select("doc", "sub", "z").join(asked, ["doc", "sub"]).select("doc", "sub", "z", "parts")
-    blocks = whole.mapInArrow(_contents, "bucket long, doc long, sub int, first int, bytes binary").dropDuplicates(["bucket", "doc", "sub", "first"])
+    blocks = arrow(whole, _contents, "bucket long, doc long, sub long, first int, bytes binary").dropDuplicates(["bucket", "doc", "sub", "first"])
     blocks = blocks.repartition(parts, "bucket").sortWithinPartitions("bucket", "doc", "sub", "first")
-    sorted_ = blocks.mapInArrow(_sorted_blocks, "doc long, sub int, first int, n int")
+    sorted_ = arrow(blocks, _sorted_blocks, "doc long, sub long, first int, n int")
     spans = settled.where("NOT open").select("doc", "sub", "first", "n").unionByName(sorted_)
     spans = spans.unionByName(spread) if spread is not None else spans
     spans = spans.groupBy("doc", "sub").agg(F.collect_list(F.struct("first", "n")).alias("spans"))
     out = packed.join(spans, ["doc", "sub"], "left")
-    return out.select("doc_id", "z", "spans").mapInArrow(_removed, OUT)
+    return arrow(out.select("doc_id", "z", "spans"), _removed, OUT)

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -55,6 +56,33 @@ def test_crowded_buckets(spark, monkeypatch):
     assert sorted((tuple(r) for r in got), key=str) == brute(rows)
 
 
+def test_long_texts_in_chunks(spark, monkeypatch):
+    for name, size in (("CHUNK", 130), ("MOST", 80), ("BLOCK_BYTES", 500)):
+        monkeypatch.setattr(S, name, size)
+    rows = corpus()
+    batch = pa.RecordBatch.from_pydict({"doc": [r[0] or -1 for r in rows], "sub": [0] * len(rows), "text": [r[1] or "" for r in rows]})
+    # in this process, as workers would not see the changed sizes
+    settled, contents = [], {}
+    found = pa.Table.from_batches(list(S._stretches(iter([batch])))).sort_by([(k, "ascending") for k in S.ORDER])
+    texts = {r[0] or -1: (r[1] or "").encode() for r in rows}
+    for got in S._settle(iter(found.to_batches())):
+        for x in got.to_pylist():
+            if x["open"]:
+                contents[x["bucket"], x["doc"], x["sub"], x["first"]] = texts[x["doc"]][x["first"] : x["first"] + x["n"] + 99]
+            else:
+                settled.append((x["doc"], x["first"], x["n"]))
+    blocks = pa.RecordBatch.from_pylist([dict(zip(("bucket", "doc", "sub", "first", "bytes"), (*k, v), strict=True)) for k, v in sorted(contents.items())], schema=pa.schema([("bucket", pa.int64()), ("doc", pa.int64()), ("sub", pa.int64()), ("first", pa.int32()), ("bytes", pa.binary())]))
+    for got in S._sorted_blocks(iter([blocks])):
+        settled += [(x["doc"], x["first"], x["n"]) for x in got.to_pylist()]
+    want = {r[0] or -1: r[2] for r in brute(rows)}
+    for doc, text in texts.items():
+        gone = np.zeros(len(text), bool)
+        for d, first, n in settled:
+            if d == doc:
+                gone[first : first + n + 99] = True
+        assert gone.sum() == want[doc], doc
+
+
 def test_repeated_rows_are_one_document(spark):
     text = "".join(random.Random(1).choices("abcdef", k=300))
     docs = spark.createDataFrame([(1, text), (1, text), (2, text)], "doc_id long, text string")
