@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, written
+from .common import BROADCAST_BYTES, written
 
 
 def _digest(edges: DataFrame) -> tuple:
@@ -24,12 +24,14 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     now = written(nodes.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
     before = _digest(now)
     while before[0]:
+        # no more minima than twice the edges
+        side = F.broadcast if before[0] * 64 <= BROADCAST_BYTES else written
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = both.join(broadcast_if_small(low, 32), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = side(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = written(large)
-        low = written(large.groupBy("u").agg(F.min("v").alias("m")))
-        pairs = large.join(broadcast_if_small(low, 32), "u")
+        low = side(large.groupBy("u").agg(F.min("v").alias("m")))
+        pairs = large.join(low, "u")
         small = pairs.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         now = written(small)
         after = _digest(now)
