@@ -5,10 +5,12 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -144,6 +146,30 @@ def by_key(batches: Iterator[pa.RecordBatch], keys: list[str], limit: int = 8 <<
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+class Taken:
+    """Stretches of a text that are taken: whether another one touches them, by halving."""
+
+    def __init__(self, spans: list[tuple[int, int]]) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for s, e in sorted(spans):
+            if self.ends and s < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], e)
+            else:
+                self.starts.append(s)
+                self.ends.append(e)
+
+    def touches(self, start: int, end: int) -> bool:
+        i = bisect_left(self.starts, end) - 1
+        return i >= 0 and self.ends[i] > start
+
+
+def hinted(column: pa.Array, hint: str) -> list[tuple[int, str]]:
+    """Number and text of the rows in which the pattern occurs: the others never become Python strings."""
+    rows = np.flatnonzero(pc.match_substring_regex(column, hint).fill_null(False).to_numpy(zero_copy_only=False))
+    return list(zip(rows.tolist(), column.take(pa.array(rows)).to_pylist(), strict=True))
+
+
 def runs(*columns: np.ndarray) -> np.ndarray:
     """Where runs of equal values begin, and the length at the end."""
     n = len(columns[0])

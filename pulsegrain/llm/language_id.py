@@ -12,15 +12,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow, pieces, utf8
+from .common import arrow, broadcast_if_small, checkpointed, pieces, utf8
 
 WINDOW, WIDTHS, FILTERS, SYMBOLS = 256, (2, 3, 4), 12, 128
-#: Labelled texts that are sampled for training (those of least hash), windows of each, passes, batch, step, seed.
-SAMPLE, EACH, ROUNDS, BATCH, STEP, SEED = 6000, 3, 8, 64, 0.02, 11
+#: Labelled texts that are sampled for training, shared alike by the languages (those of least hash of each), and the least
+#: share of a language; windows of each text, passes, batch, step, seed.
+SAMPLE, SHARE, EACH, ROUNDS, BATCH, STEP, SEED = 6000, 60, 3, 8, 64, 0.02, 11
 FOLD = 5
+#: Bytes that are cut into windows at once.
+STRIP = 1 << 18
 
 CODE = np.zeros(256, np.uint8)
 CODE[97:123] = CODE[65:91] = np.arange(1, 27)
@@ -113,12 +116,14 @@ class Network:
         """Language and probability of each text; und and 0 for one without a letter."""
         names: list[str] = []
         scores: list[float] = []
-        for a, b in pieces(ends, 1 << 18):
-            grid, row, size = windows(data, ends, a, b)
+        for a, b in pieces(ends, STRIP):
             total = np.zeros((b - a, len(self.languages)))
-            for z in range(0, len(grid), 64):
-                logs = self.log_probabilities(self.pooled(grid[z : z + 64]))
-                np.add.at(total, row[z : z + 64], logs * size[z : z + 64, None])
+            # a long text in strips of whole windows
+            for x in range(int(ends[a]), int(ends[b]), STRIP) if b - a == 1 else (int(ends[a]),):
+                grid, row, size = windows(data, np.array([x, min(x + STRIP, int(ends[b]))]), 0, 1) if b - a == 1 else windows(data, ends, a, b)
+                for z in range(0, len(grid), 64):
+                    logs = self.log_probabilities(self.pooled(grid[z : z + 64]))
+                    np.add.at(total, row[z : z + 64], logs * size[z : z + 64, None])
             total /= np.maximum(1, np.diff(ends[a : b + 1]))[:, None]
             p = np.exp(total - total.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
@@ -154,12 +159,20 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Network | None:
-    """Trained on the texts of at most `sample` labelled documents outside of the held-out fold, those of least hash of their id."""
+    """Trained on the texts of labelled documents outside of the held-out fold: at most `sample` in all, or SHARE of each
+    language if that is more; those of least hash of their id within each language, so that a rare one is learned as well."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
     rows = rows.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    order = F.xxhash64(F.lit(SEED), F.col("doc_id"))
-    picked = rows.select("doc_id").distinct().orderBy(order, "doc_id").limit(sample).withColumnRenamed("doc_id", "p")
-    got = arrow(rows.join(F.broadcast(picked), F.col("doc_id") == F.col("p")).select("doc_id", "lang", "text"), _cut, "d long, lang string, window binary").collect()
+    sizes = checkpointed(rows.groupBy("lang").agg(F.count("*").alias("n")).withColumnRenamed("lang", "l"))
+    share = max(SHARE, sample // max(1, sizes.count()))
+    # twice the share of each language by a threshold for the hash; only those are put in order
+    place = F.pmod(F.xxhash64(F.lit(SEED), F.col("doc_id")), F.lit(1 << 40)) / float(1 << 40)
+    near = rows.select("doc_id", "lang", place.alias("place")).join(broadcast_if_small(sizes, 64), F.col("lang") == F.col("l"))
+    near = near.where(F.col("place") * F.col("n") < 2 * share + 100).select("doc_id", "lang", "place").distinct()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id"))
+    picked = checkpointed(near.withColumn("rank", rank).where(F.col("rank") <= share).select(F.col("doc_id").alias("p"), F.col("lang").alias("q")))
+    side = broadcast_if_small(picked, 48)
+    got = arrow(rows.join(side, (F.col("doc_id") == F.col("p")) & (F.col("lang") == F.col("q"))).select("doc_id", "lang", "text"), _cut, "d long, lang string, window binary").collect()
     got.sort(key=lambda r: (r.d, r.lang, bytes(r.window)))
     languages = sorted({r.lang for r in got})
     if not languages:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, batch_of, checkpointed
+from .common import Taken, arrow, batch_of, checkpointed, hinted
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns; an address is found from its @ outwards, which gives the same matches as
@@ -37,6 +37,8 @@ LOOSE = (
 )
 #: What a text must hold for a loose pattern to match: cheaper to look for than the pattern.
 HINTS = {"email": re.compile(r"[(\[{]at[)\]}]", re.I), "phone": re.compile(r"[0-9]{2}\)?[\x20.-][0-9]{2}"), "id": re.compile(r"[0-9]{3}-[0-9]{2}-"), "iban": re.compile(r"[0-9]{2}\x20?[A-Z0-9]{4}\x20?[A-Z0-9]{4}")}
+#: What a text must hold for any pattern to match.
+HINT = r"@|\+[0-9]|[0-9]\.[0-9]+\.[0-9]+\.[0-9]|[0-9](?:[ -]?[0-9]){12}|(?i:[(\[{]at[)\]}])|[0-9]{2}\)?[ .-][0-9]{2}|[0-9]{3}-[0-9]{2}-|[0-9]{2} ?[A-Z0-9]{4} ?[A-Z0-9]{4}"
 #: Gazetteers and context words.
 TLDS = frozenset("com org net edu gov info biz io co de fr es uk us it nl eu ch at be ca au jp cn br ru pl se no".split())
 CODES = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "52", "54", "55", "56", "57", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "98", "351", "352", "353", "358", "380", "420")
@@ -85,14 +87,10 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def loose_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[str, int, int]]:
     """Kind, start and end of loose matches that touch no base match and no earlier loose one."""
     out: list[tuple[str, int, int]] = []
-    taken = [(s, e) for _, s, e in base]
     for kind, pattern in LOOSE:
-        if not HINTS[kind].search(text):
-            continue
-        for m in pattern.finditer(text):
-            if not any(s < m.end() and m.start() < e for s, e in taken):
-                out.append((kind, m.start(), m.end()))
-                taken.append(m.span())
+        if HINTS[kind].search(text):
+            taken = Taken([(s, e) for _, s, e in [*base, *out]])
+            out += [(kind, *m.span()) for m in pattern.finditer(text) if not taken.touches(*m.span())]
     return sorted(out, key=lambda x: x[1])
 
 
@@ -175,8 +173,7 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("votes", pa.string()), ("features", pa.string()), ("n", pa.int64())])
     for batch in batches:
         counts: Counter = Counter()
-        for text in batch.column(0).to_pylist():
-            text = text or ""
+        for _, text in hinted(batch.column(0), HINT):
             base = base_spans(text)
             for kind, s, e, strict in [*((KINDS[k], s, e, True) for k, s, e in base), *((k, s, e, False) for k, s, e in loose_spans(text, base))]:
                 v = votes(text, kind, s, e, strict)
@@ -211,6 +208,7 @@ def find(text: str, weights: list[float]) -> tuple[list[tuple[int, int, int]], l
     return base, more
 
 
+NOTHING = (0, 0, 0, 0, hashlib.sha256().hexdigest(), "")
 OUT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
 
 
@@ -219,12 +217,12 @@ def _scan(weights: list[float]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for text in batch.column(1).to_pylist():
-                base, more = find(text or "", weights)
+            rows: list[tuple] = [NOTHING] * batch.num_rows
+            for i, text in hinted(batch.column(1), HINT):
+                base, more = find(text, weights)
                 digest = hashlib.sha256(",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e in base).encode()).hexdigest()
                 every = sorted([*base, *((ALL_KINDS.index(k), s, e) for k, s, e in more)])
-                rows.append((*[sum(k == i for k, *_ in base) for i in range(len(KINDS))], digest, ",".join(f"{ALL_KINDS[k]}:{s}:{e}" for k, s, e in every)))
+                rows[i] = (*[sum(k == kind for k, *_ in base) for kind in range(len(KINDS))], digest, ",".join(f"{ALL_KINDS[k]}:{s}:{e}" for k, s, e in every))
             if rows:
                 yield batch_of(schema, [batch.column(0), *map(list, zip(*rows, strict=True))])
 
@@ -254,13 +252,21 @@ def pii_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 
 
 def pii_mask(docs: DataFrame, text: str = "text") -> DataFrame:
-    """`docs` with personal data in `text` replaced by its kind, all other columns unchanged; null texts stay null."""
+    """`docs` with personal data in `text` replaced by its kind, all other columns unchanged.
+
+    Null texts stay null and empty ones empty; repeated rows are masked alike; an empty table gives no rows, and one without
+    any match is returned as it is."""
     weights = fit(docs, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index(text)
-            done = pa.array([None if t is None else mask(t, weights) for t in batch.column(at).to_pylist()], batch.schema.field(at).type)
-            yield batch.set_column(at, batch.schema.field(at), done)
+            found = hinted(batch.column(at), HINT)
+            if found:
+                done = batch.column(at).to_pylist()
+                for i, t in found:
+                    done[i] = mask(t, weights)
+                batch = batch.set_column(at, batch.schema.field(at), pa.array(done, batch.schema.field(at).type))
+            yield batch
 
     return arrow(docs, run, docs.schema)

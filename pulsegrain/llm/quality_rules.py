@@ -19,7 +19,6 @@ from .common import checkpointed
 WORD = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 FEW_WORDS, MOST_REPEATED = 50, 50
-ROUNDS = 60
 
 
 def counted(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -82,46 +81,6 @@ def rules() -> dict[str, Column]:
     }
 
 
-def estimate(counts: dict[tuple[int, ...], int], rounds: int = ROUNDS) -> tuple[list[float], list[list[dict[int, float]]]]:
-    """For each class its log share, and for each rule the log rate of each vote in it. Class 0 is the good texts; class k
-    the bad ones of the kind that rule k - 1 is there to see, since a rule's vote for good only speaks of its own kind. EM
-    on pattern counts: rules vote independently given the class. It starts from texts with any vote for bad, each shared by
-    the rules that voted so; a rule sees at least half of its own kind, and votes against one in fifty good texts at most."""
-    names = list(counts)
-    if not names:
-        return [0.0], [[]]
-    m = len(names[0])
-    share = []
-    for p in names:
-        seen = [v > 0 for v in p]
-        bad = 0.95 if any(seen) else 0.02
-        share.append([1 - bad] + [bad * (x / sum(seen) if any(seen) else 1 / m) for x in seen])
-    total = sum(counts.values())
-    prior: list[float] = []
-    rates: list[list[dict[int, float]]] = []
-    for _ in range(rounds):
-        prior, rates = [], []
-        for k in range(m + 1):
-            mass = sum(counts[p] * s[k] for p, s in zip(names, share, strict=True))
-            prior.append(math.log((mass + 0.5) / (total + 0.5 * (m + 1))))
-            rates.append([])
-            for j in range(m):
-                rate = {v: (sum(counts[p] * s[k] for p, s in zip(names, share, strict=True) if p[j] == v) + 0.5) / (mass + 1.5) for v in (-1, 0, 1)}
-                if k == j + 1 or k == 0:
-                    seen = max(0.5, rate[1]) if k else min(0.02, rate[1])
-                    rest = max(1e-12, rate[-1] + rate[0])
-                    rate = {-1: rate[-1] * (1 - seen) / rest, 0: rate[0] * (1 - seen) / rest, 1: seen}
-                rates[k].append({v: math.log(max(r, 1e-9)) for v, r in rate.items()})
-        for i, p in enumerate(names):
-            if not any(v > 0 for v in p):
-                continue  # what no rule votes against counts as good throughout
-            logs = [prior[k] + sum(rates[k][j][v] for j, v in enumerate(p)) for k in range(m + 1)]
-            top = max(logs)
-            parts = [math.exp(x - top) for x in logs]
-            share[i] = [x / sum(parts) for x in parts]
-    return prior, rates
-
-
 def _fit(votes: np.ndarray, counts: np.ndarray, share: np.ndarray, rounds: int = 300) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
     """EM from `share` (patterns x classes): log likelihood, shares of the classes, rates of votes for bad (classes x rules),
     and the new `share`. All that is set beforehand is what a vote for bad means: in each kind of bad texts a rule votes so

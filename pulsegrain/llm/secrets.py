@@ -1,8 +1,8 @@
 """Secret scans: fixed patterns, and random-looking strings by a battery of randomness tests.
 
 Candidates are runs of key characters. For the encoding that a run's characters imply, three tests measure how far it is
-from random: a chi-squared test of uniform use of the alphabet, a Wald-Wolfowitz runs test about the alphabet's middle and
-a serial-correlation test. Their combined p-value is small for words and identifiers and spread out for keys. How often an
+from random: a chi-squared test of uniform use of the alphabet, a Wald-Wolfowitz runs test about a cut of the alphabet and a
+serial-correlation test. Their combined p-value is small for words and identifiers and spread out for keys. How often an
 ordinary run of the same encoding and length class is as random-looking is counted over the whole corpus, each distinct
 run once, and a Benjamini-Hochberg bound within each encoding and length class sets the p-value from which a run is reported.
 """
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, batch_of
+from .common import Taken, arrow, batch_of, hinted
 
 #: The base patterns by kind, in their order.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -27,13 +27,18 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex")
 
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}", re.A)
+RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}", re.A)
+#: What a text must hold for a run, and for anything at all, to be found in it.
+RUN_HINT = "[A-Za-z0-9+/_=-]{16}"
+HINT = f"(?i:passw|secret|token|api_?key)|{RUN_HINT}"
 #: Encodings, tried in order: name, alphabet.
 ENCODINGS = (("digits", "0123456789"), ("hex", "0123456789abcdef"), ("upperhex", "0123456789ABCDEF"), ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), ("upper36", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"), ("lower36", "0123456789abcdefghijklmnopqrstuvwxyz"), ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"))
 _SETS = tuple(frozenset(a) for _, a in ENCODINGS)
 _PLACE = tuple({c: i for i, c in enumerate(a)} for _, a in ENCODINGS)
 #: Share of false reports that is accepted, and bins of p-values.
 FDR, BINS = 0.05, 40
+#: Standard deviations by which a bin must exceed its expected random runs before the excess counts as ordinary ones.
+SPREAD = 2.0
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -66,8 +71,8 @@ def battery(run: str) -> tuple[int, float]:
     chars = set(body)
     code = next((i for i, s in enumerate(_SETS) if chars <= s), -1)
     n = len(body)
-    if code < 0 or n < 16:
-        return code, 0.0
+    if code < 0 or n < (20 if code == 0 else 16):  # shorter numbers are those of cards, accounts and times
+        return -1, 0.0
     size, values = len(ENCODINGS[code][1]), [_PLACE[code][c] for c in body]
     # characters pooled to cells of at least four expected
     cells = max(2, min(size, n // 4))
@@ -79,7 +84,9 @@ def battery(run: str) -> tuple[int, float]:
         widths[v * cells // size] += 1
     chi = sum((c - n * w / size) ** 2 / (n * w / size) for c, w in zip(counts, widths, strict=True))
     p1 = _chi2_tail(chi, cells - 1)
-    above = [v * 2 >= size for v in values]
+    # capitals against the rest in an alphabet that has both, which identifiers mix least; else the two halves
+    cut = 26 if size > 36 else size / 2
+    above = [v >= cut for v in values]
     a = sum(above)
     b = n - a
     if a and b:
@@ -115,8 +122,7 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("run", pa.int64()), ("code", pa.int32()), ("length", pa.int32()), ("bin", pa.int32())])
     for batch in batches:
         found: dict[str, tuple[int, int, int]] = {}
-        for text in batch.column(0).to_pylist():
-            text = text or ""
+        for _, text in hinted(batch.column(0), RUN_HINT):
             for s, e, *rest in candidates(text):
                 found[text[s:e]] = tuple(rest)
         if found:
@@ -152,13 +158,16 @@ def thresholds(counts: list[tuple[int, int, int, int]], fdr: float = FDR) -> dic
         least, seen, ordinary = BINS, 0, 0.0
         for b in range(BINS - 1, -1, -1):
             seen += hist[b]
-            ordinary += max(0.0, hist[b] - density * width[b])
+            # what is more than random runs and their usual spread explain
+            more = hist[b] - density * width[b]
+            ordinary += more if more > SPREAD * math.sqrt(density * width[b]) else 0.0
             if seen and ordinary <= fdr * seen:
                 least = b
         out[key] = least
     return out
 
 
+NOTHING = (0, 0, 0, hashlib.sha256().hexdigest(), "")
 OUT = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
 
@@ -167,15 +176,15 @@ def _scan(least: dict[tuple[int, int], int]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for text in batch.column(1).to_pylist():
-                text = text or ""
+            rows: list[tuple] = [NOTHING] * batch.num_rows
+            for i, text in hinted(batch.column(1), HINT):
                 base = base_spans(text)
-                more = [(s, e) for s, e, code, length, b in candidates(text) if b >= least.get((code, length), BINS) and not any(x < e and s < y for x, y, _ in base)]
+                taken = Taken([(s, e) for s, e, _ in base])
+                more = [(s, e) for s, e, code, length, b in candidates(text) if b >= least.get((code, length), BINS) and not taken.touches(s, e)]
                 joined = ",".join(f"{k}:{s}:{e}" for s, e, k in base)
                 spans = sorted([(s, KINDS.index(k), e, k) for s, e, k in base] + [(s, 3, e, "random") for s, e in more])
                 n = [sum(k == kind for *_, k in base) for kind in KINDS]
-                rows.append((*n, hashlib.sha256(joined.encode()).hexdigest(), ",".join(f"{k}:{s}:{e}" for s, _, e, k in spans)))
+                rows[i] = (*n, hashlib.sha256(joined.encode()).hexdigest(), ",".join(f"{k}:{s}:{e}" for s, _, e, k in spans))
             if rows:
                 yield batch_of(schema, [batch.column(0), *map(list, zip(*rows, strict=True))])
 

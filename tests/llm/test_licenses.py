@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import re
 
-from pulsegrain.llm.licenses import PHRASES, license_scan
+from pulsegrain.llm.licenses import KNOWN, PHRASES, license_scan
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -36,3 +36,15 @@ def test_changed_template_is_found(spark):
 
 def test_no_rows(spark):
     assert license_scan(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_whole_texts_and_paragraphs(spark):
+    mit = next(" ".join(words) for words, label in KNOWN if label == "mit" and len(words) > 100)
+    words = mit.split()
+    changed = " ".join("thing" if i % 25 == 7 else w for i, w in enumerate(words))
+    docs = [(1, f"My code. {mit.upper()}!"), (2, changed), (3, " ".join(words[: len(words) // 3])), (4, "the software is provided to the user and the rights of the author are in the book " * 40)]
+    got = {r.doc_id: r for r in license_scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[1].labels == got[2].labels == "mit" and got[1].score == 1 and 0.8 <= got[2].score <= 1
+    assert f"mit:2:{2 + len(words)}" in got[1].spans.split(",")
+    # a third holds the opening, which is a template of its own, but not the whole
+    assert got[3].spans == "mit:0:16" and got[4].labels == ""

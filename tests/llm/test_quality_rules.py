@@ -6,7 +6,7 @@ from collections import Counter
 
 import pytest
 
-from pulsegrain.llm.quality_rules import estimate, quality_rules, shared_kinds
+from pulsegrain.llm.quality_rules import counted, quality_rules, rules, shared_kinds
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -37,14 +37,6 @@ def test_counts_like_brute_force(spark):
         assert not (r.kept and r.base_failed) and 0 <= r.p_good <= 1
 
 
-def test_estimate_separates():
-    counts = {(-1, -1, -1): 900, (-1, 0, -1): 50, (1, 1, 0): 60, (1, 1, 1): 30, (0, 1, 1): 10, (-1, -1, 1): 80}
-    prior, rates = estimate(counts)
-    odds = lambda p: max(prior[k] + sum(rates[k][j][v] - rates[0][j][v] for j, v in enumerate(p)) for k in (1, 2, 3)) - prior[0]
-    assert all(odds(p) > 0 for p in counts if max(p) > 0) and odds((-1, -1, -1)) < 0
-    assert estimate({}) == ([0.0], [[]])
-
-
 def test_verdict(spark):
     clean = [(i, " ".join(f"Word{(i * 37 + j * j) % 997} of" for j in range(60))) for i in range(80)]
     junk = [(100 + i, " ".join(f"buy{(i * 31 + j * j) % 997}!!### {j}***" for j in range(60))) for i in range(10)]
@@ -90,3 +82,17 @@ def test_a_random_rule_drops_no_text(spark):
     rows = [(i, text(i, i % 10 == 0, rng.random() < 0.1)) for i in range(600)]
     kept = {r.doc_id for r in quality_rules(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.kept}
     assert kept == {i for i, _ in rows if i % 10}
+
+
+def test_the_posterior_is_not_all_must_pass(spark):
+    """A text that only an unreliable rule votes against is kept, though it does not pass all rules."""
+    rng = random.Random(9)
+    junk = lambda i: " ".join(f"BUY{(i * 31 + j * j) % 997} ###" for j in range(60))
+    good = lambda i, bang: " ".join(f"Word{(i * 37 + j * j) % 997} of" + (" wow!!!!!!!!" if bang and j % 9 == 0 else "") for j in range(60))
+    rows = [(i, junk(i) if i % 5 == 0 else good(i, rng.random() < 0.1)) for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in quality_rules(docs).collect()}
+    votes = counted(docs).select("doc_id", *[v.alias(k) for k, v in rules().items()]).collect()
+    passes = {r.doc_id for r in votes if all(r[k] <= 0 for k in rules())}
+    kept = {i for i, r in got.items() if r.kept}
+    assert kept - passes and kept == {i for i, _ in rows if i % 5}

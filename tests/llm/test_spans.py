@@ -123,3 +123,68 @@ def test_repeats_do_not_move_the_threshold(spark):
 def test_no_rows(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert secrets.secret_scan(none).collect() == [] == pii.pii_scan(none).collect()
+
+
+def test_planted_keys_are_added(spark):
+    """Keys that no fixed pattern matches, among paths and identifiers: found, with few of those; cards are no keys."""
+    import random
+
+    rng = random.Random(4)
+    alphabets = {"base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "lower": "0123456789abcdefghijklmnopqrstuvwxyz", "upper": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
+    keys = {"".join(rng.choices(a, k=n)): (name, n) for name, a in alphabets.items() for n in (16, 20, 32, 40) for _ in range(60)}
+    words = ["config", "file", "version", "path", "user", "home", "lib", "python3", "site", "packages", "module2", "v1", "http", "x86", "utf8", "2024", "12"]
+    names = sorted({rng.choice("_-/").join(rng.choices(words, k=rng.randint(4, 9))) for _ in range(900)})
+    rows = [(i, f"we keep it in {k} here") for i, k in enumerate(keys)] + [(10000 + i, f"we keep it in {n} here") for i, n in enumerate(names)] + [(20000, "card 4111111111111111 on 20240131235959")]
+    got = {r.doc_id: r for r in secrets.secret_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = {i for i, r in got.items() if r.spans}
+    for name in alphabets:
+        mine = [i for i, k in enumerate(keys.values()) if k[0] == name]
+        assert sum(i in found for i in mine) >= 0.9 * len(mine), name
+    assert sum(10000 <= i < 20000 for i in found) <= 0.05 * len(found) and 20000 not in found
+    one = next(i for i in found if i < 10000 and not got[i].n_hex)
+    assert got[one].spans == f"random:14:{14 + len(rows[one][1]) - 19}" and got[one].n_assign == 0
+
+
+def test_many_spans_in_one_text(spark):
+    numbers = " ".join(f"{200 + i % 700} {1000 + i} {2000 + i}" for i in range(30_000))
+    keys = " ".join(f"x{i}y{i * 7919 % 10**12}z{i}abcd" for i in range(20_000))
+    rows = spark.createDataFrame([(1, numbers), (2, "tel " + numbers + " mail a.b@c.de")], "doc_id long, text string")
+    assert [r.n_email for r in sorted(pii.pii_scan(rows).collect())] == [0, 1]
+    assert len(secrets.secret_scan(spark.createDataFrame([(1, keys)], "doc_id long, text string")).collect()) == 1
+
+
+def test_planted_loose_data_are_added(spark):
+    """Personal data that no fixed pattern matches are found, and versions, dates and page numbers are not."""
+    import random
+
+    rng = random.Random(4)
+    words = ["the", "house", "is", "near", "a", "river", "and", "we", "go", "there", "every", "year"]
+    digits = lambda n: "".join(rng.choices("0123456789", k=n))
+
+    def iban() -> str:
+        body = "37040044" + digits(10)
+        return next(t for t in (f"DE{c:02d}{body}" for c in range(2, 99)) if int("".join(str(int(x, 36)) for x in t[4:] + t[:4])) % 97 == 1)
+
+    makers = [
+        ("mail me: ", lambda: f"{rng.choice(words)}.{rng.choice(words)} [at] {rng.choice(words)} [dot] org", True),
+        ("call ", lambda: f"({rng.randint(200, 989)}) {digits(3)}-{digits(4)}", True),
+        ("ssn ", lambda: f"{rng.randint(100, 665)}-{rng.randint(10, 99)}-{digits(3)}7", True),
+        ("iban ", iban, True),
+        ("version ", lambda: f"10.{digits(2)}.{digits(3)}", False),
+        ("on ", lambda: f"{rng.randint(10, 28)}-{rng.randint(10, 12)}-{rng.randint(1990, 2024)}", False),
+        ("pages ", lambda: f"{rng.randint(10, 50)} {rng.randint(50, 99)} {rng.randint(100, 200)}", False),
+    ]
+    rows, want = [], {}
+    for i in range(350):
+        before, make, real = makers[i % 7]
+        text = " ".join(rng.choices(words, k=9)) + " " + before
+        span = make()
+        rows.append((i, text + span + " today."))
+        want[i] = (real, len(text), len(text) + len(span))
+    rows += [(1000 + i, f"mail {rng.choice(words)}@{rng.choice(words)}.com or phone +49 30 {digits(7)} please") for i in range(100)]
+    got = {r.doc_id: r.spans for r in pii.pii_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    real = [i for i, w in want.items() if w[0]]
+    assert sum(any(x.endswith(f":{want[i][1]}:{want[i][2]}") for x in got[i].split(",")) for i in real) >= 0.9 * len(real)
+    assert sum(got[i] != "" for i, w in want.items() if not w[0]) <= 0.05 * len(real)
+    masked = {r.doc_id: r.text for r in pii.pii_mask(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert masked[0].endswith("mail me: [EMAIL] today.") and masked[4] == rows[4][1]
