@@ -65,6 +65,24 @@ def track(delays: np.ndarray, clock: float, alpha: float) -> tuple[np.ndarray, n
     return np.array(zeros, np.int64), np.array(keep, np.int64), float(np.sqrt(squares / max(1, len(delays))))
 
 
+def smoothed(delays: np.ndarray, clock: float, choices: tuple[int, ...] = (2, 3, 4, 5)) -> np.ndarray:
+    """See folds.smoothest."""
+    if not len(delays):
+        return np.zeros(0)
+    ideal = np.array(choices) * clock / 2
+    errors = delays[:, None] - ideal
+    cost, back = np.zeros(len(ideal)), np.zeros((len(delays), len(ideal)), np.int64)
+    for i in range(1, len(delays)):
+        steps = cost + (errors[i][:, None] - errors[i - 1]) ** 2
+        back[i] = steps.argmin(1)
+        cost = steps.min(1) + (0.01 * errors[i]) ** 2
+    way = np.empty(len(delays), np.int64)
+    way[-1] = cost.argmin()
+    for i in range(len(delays) - 1, 0, -1):
+        way[i - 1] = back[i, way[i]]
+    return ideal[way]
+
+
 def expand(zeros: np.ndarray, source: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bits from runs: a leading 1, then zeros and a 1 for each; and the delay each bit comes from."""
     bits = np.zeros(int(zeros.sum() + len(zeros)) + 1, np.uint8)

@@ -124,6 +124,17 @@ def lp_distance(a: Column, b: Column, p: int) -> Column:
     return F.pow(total, F.lit(1.0 / p))
 
 
+def lp_distance_fixed(a: Column, b: Column, p: int, unit: int = 1000) -> Column:
+    """lp_distance in whole units: differences are cut to units, and so is the root."""
+    total = F.aggregate(F.zip_with(a, b, lambda x, y: F.pow(F.floor(F.abs(x.cast("double") - y.cast("double")) * unit).cast("double"), F.lit(float(p)))), F.lit(0.0), lambda s, x: s + x)
+    return F.floor(F.pow(total, F.lit(1.0 / p)) + 1e-9).cast("long")
+
+
+def stretched(value: Column, amount: float) -> Column:
+    """Value made longer by a constant share, cut to whole ticks."""
+    return F.floor(value * (1 + amount)).cast("int")
+
+
 def warped(value: Column, place: Column, low: float, high: float, frequency: float) -> Column:
     """Value with a slow sine from `low` to `high` added, cut to whole ticks."""
     return F.floor(value + low + (F.sin(place * frequency) + 1) / 2 * (high - low)).cast("int")

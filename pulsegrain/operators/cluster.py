@@ -62,10 +62,14 @@ def k_center(values: np.ndarray, weights: np.ndarray, k: int, radius: float) ->
     order = np.argsort(values, kind="stable")
     v, w = np.asarray(values, float)[order], np.asarray(weights, float)[order]
     n = len(v)
-    gaps = sorted({(v[j] - v[i]) / 2 for i in range(n) for j in range(i, n) if (v[j] - v[i]) / 2 <= radius})
+    # half gaps within the radius; a wider one can only pay if it takes in as much weight as it adds distance
+    wide = np.searchsorted(v, v + 2 * radius + 1e-9, side="right")
+    gaps = np.unique(np.concatenate([(v[i : wide[i]] - v[i]) / 2 for i in range(n)])) if n else ()
     count = np.concatenate([[0.0], np.cumsum(w)])
     best: tuple[float, float, list[float], float] | None = None
     for r in gaps:
+        if best is not None and r >= best[0]:
+            break
         reach = np.searchsorted(v, v + 2 * r + 1e-9, side="right")
         gain, pick = [np.zeros(n + 1)], []
         for _ in range(k):
@@ -123,11 +127,13 @@ def moving_mean_residual(df: DataFrame, keys: Sequence[str], pos: str, residual:
     return df.withColumn("moving", F.avg(residual).over(record(keys, pos).rowsBetween(-reach, reach)))
 
 
-def local_k_median(values: np.ndarray, centers: list[float], reach: int = 150, every: int = 801, fewest: int = 10) -> np.ndarray:
+def local_k_median(values: np.ndarray, centers: Sequence[float], reach: int = 150, every: int = 801, fewest: int = 10) -> np.ndarray:
     """Centers at each value: one step of reassigning and taking lower medians in the window around it; a band of `fewest`
-    values or less keeps its center, and every so many rows the start is compared with the global centers and the better kept."""
+    values or less keeps its center, and every so many rows the centers are compared with the record's and the better kept.
+    They start from the optimal medians of the first window, repaired by those of the record."""
     home = np.array(centers, float)
-    now = home.copy()
+    first, n = np.unique(values[: reach + 1], return_counts=True)
+    now = repaired(k_median(first, n, len(home))[0], home)
     out = np.empty((len(values), len(home)))
     for i in range(len(values)):
         near = values[max(0, i - reach) : i + reach + 1]
@@ -144,6 +150,18 @@ def local_k_median(values: np.ndarray, centers: list[float], reach: int = 150, e
     return out
 
 
+def repaired(local: Sequence[float], home: Sequence[float]) -> np.ndarray:
+    """Centers of a part of a record, one for each center of the whole: the nearest of those that are nearest to it, or itself
+    where there is none."""
+    here, out = np.array(local, float), np.array(home, float)
+    gap = np.abs(here[:, None] - out)
+    owner = gap.argmin(1)
+    for g in set(owner.tolist()):
+        mine = np.flatnonzero(owner == g)
+        out[g] = here[mine[gap[mine, g].argmin()]]
+    return out
+
+
 def local_centers(df: DataFrame, keys: Sequence[str], pos: str, value: str, k: int = 3, reach: int = 150) -> DataFrame:
     """Each row with the centers around it (`centers`) and its own band, starting from the record's optimal k medians."""
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -11,69 +12,71 @@ from pyspark.sql import DataFrame
 from .cluster import k_center, k_median
 
 
-def _band(value: float, centers: np.ndarray) -> int:
-    return int(np.abs(value - centers).argmin())
+class Scale:
+    """Centers that drift together: what they were at first, times a number that moves."""
+
+    def __init__(self, centers: Sequence[float]) -> None:
+        self.at_first, self.now = np.array(centers, float), 1.0
+
+    def excess(self, values: np.ndarray) -> np.ndarray:
+        """How much larger each value is than its nearest center, as a share of that."""
+        own = self.at_first[np.abs(values[:, None] - self.now * self.at_first).argmin(1)]
+        return values / (self.now * own) - 1
+
+    def move(self, by: float) -> float:
+        self.now *= 1 + by
+        return self.now
+
+
+def _banded(values: np.ndarray, centers: Sequence[float], scales: np.ndarray) -> np.ndarray:
+    return np.abs(values[:, None] - scales[:, None] * np.array(centers, float)).argmin(1).astype(np.int32)
+
+
+def delay_of(alpha: float) -> int:
+    """Values that a lagged loop looks ahead."""
+    return int((1 - alpha) / alpha)
 
 
 def lagged(values: np.ndarray, centers: Sequence[float], alpha: float = 0.05) -> np.ndarray:
-    """Bands where all centers are scaled by alpha of each value's relative residual. A value gets its band only after the
-    (1 - alpha) / alpha values that follow have been seen; the last ones get theirs from the final centers."""
-    c, lag = np.array(centers, float), int((1 - alpha) / alpha)
-    out = np.empty(len(values), np.int32)
-    for i, v in enumerate(values):
-        b = _band(v, c)
-        c *= 1 + alpha * (v - c[b]) / c[b]
-        if i >= lag:
-            out[i - lag] = _band(values[i - lag], c)
-    for i in range(max(0, len(values) - lag), len(values)):
-        out[i] = _band(values[i], c)
-    return out
+    """Bands by a scale that moves by alpha of each value's excess. A value's band is read off the scale as it stands
+    (1 - alpha) / alpha values later, or at the end of the record."""
+    scale = Scale(centers)
+    after = np.array([scale.move(alpha * float(scale.excess(v)[0])) for v in values.reshape(-1, 1)])
+    later = np.minimum(np.arange(len(values)) + delay_of(alpha), len(values) - 1)
+    return _banded(values, centers, after[later])
 
 
 def neighbourhood(values: np.ndarray, centers: Sequence[float], alpha: float = 0.05, reach: int = 15) -> np.ndarray:
-    """Bands where centers are scaled by alpha of the median relative residual of the values around each one."""
-    c = np.array(centers, float)
-    out = np.empty(len(values), np.int32)
-    for i in range(len(values)):
-        near = values[max(0, i - reach) : i + reach]
-        own = c[np.abs(near[:, None] - c).argmin(1)]
-        c *= 1 + alpha * float(np.median((near - own) / own))
-        out[i] = _band(values[i], c)
-    return out
+    """Bands by a scale that moves by alpha of the median excess of the values around each one."""
+    scale = Scale(centers)
+    after = [scale.move(alpha * float(np.median(scale.excess(values[max(0, i - reach) : i + reach])))) for i in range(len(values))]
+    return _banded(values, centers, np.array(after))
 
 
 def centred(values: np.ndarray, centers: Sequence[float], alpha: float = 0.005, width: int = 55) -> np.ndarray:
-    """Bands where centers are scaled by alpha of the mean relative residual of a window around each value. A residual is
-    taken once, when its value enters the window."""
-    c, half = np.array(centers, float), width // 2
-    residual = np.zeros(len(values))
-
-    def enter(i: int) -> float:
-        own = c[_band(values[i], c)]
-        residual[i] = (values[i] - own) / own
-        return residual[i]
-
-    total = sum(enter(i) for i in range(min(half, len(values))))
-    out = np.empty(len(values), np.int32)
-    for i in range(len(values)):
-        if i + half < len(values):
-            total += enter(i + half)
-        low, high = max(0, i - half), min(len(values), i + half + 1)
-        c *= 1 + alpha * total / (high - low)
-        out[i] = _band(values[i], c)
-        if i - half >= 0:
-            total -= residual[i - half]
-    return out
-
-
-def follow(df: DataFrame, keys: Sequence[str], pos: str, value: str, loop: Callable[..., np.ndarray], k: int = 3, **options) -> DataFrame:
-    """keys, pos, value and band by a loop that starts from each record's optimal k medians."""
+    """Bands by a scale that moves by alpha of the mean excess in a window around each value. A value's excess is taken once,
+    by the scale at which it enters the window."""
+    scale, half, n = Scale(centers), width // 2, len(values)
+    window: deque[float] = deque(scale.excess(values[:half]).tolist())
+    total, after = sum(window), np.empty(n)
+    for i in range(n):
+        for v in values[i + half : i + half + 1]:
+            window.append(float(scale.excess(np.array([v]))[0]))
+            total += window[-1]
+        after[i] = scale.move(alpha * total / len(window))
+        if i >= half:
+            total -= window.popleft()
+    return _banded(values, centers, after)
+
+
+def follow(df: DataFrame, keys: Sequence[str], pos: str, value: str, loop: Callable[..., np.ndarray], k: int = 3, centers: Sequence[float] | None = None, **options) -> DataFrame:
+    """keys, pos, value and band by a loop that starts from the given centers, or else from each record's optimal k medians."""
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(pos, kind="stable")
         x = pdf[value].to_numpy(float)
         v, n = np.unique(x, return_counts=True)
-        return pdf.assign(band=loop(x, k_median(v, n, k)[0], **options))
+        return pdf.assign(band=loop(x, centers or k_median(v, n, k)[0], **options))
 
     rows = df.select(*keys, pos, value)
     shape = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), "band int"])

@@ -1,21 +1,32 @@
 """Search: many needles at once in texts or in coded sequences, exact, by order pattern, and with errors.
 
-A hash join is the search: places of the haystack are keyed by as many symbols as the shortest needle has, joined to the
-needles, and compared whole in the same stage, so that only hits are ever written.
+Needles that fit a task are one automaton, which each text passes once, whatever their number; hits are all that leaves the
+task. More needles than that are found by a hash join: places of the haystack are keyed by as many symbols as the shortest
+needle has, joined to the needles, and compared whole in the same stage.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
-from .sequence import ordinal, record
+from .sequence import ordinal, record, wildcard_needle
+
+try:
+    import ahocorasick
+except ImportError:  # then all needles are joined
+    ahocorasick = None
 
 #: Needles are broadcast up to this many characters in all, keys included; beyond it the join shuffles.
 BROADCAST_CHARS = 8 << 20
+#: Needles make an automaton up to this many; a character takes some 50 bytes of it.
+AUTOMATON_CHARS = 1 << 20
 
 
 #: Texts are cut into pieces of this many characters, or of the longest needle's length: finding a character's byte in
@@ -23,9 +34,9 @@ BROADCAST_CHARS = 8 << 20
 PIECE = 128
 
 
-def checked(needles: DataFrame, id_: str, needle: str, unique: bool = False) -> tuple[DataFrame, int, int]:
-    """Needles, hinted for broadcast if small, and the lengths of the shortest and the longest. ValueError for an empty one, or with `unique`
-    for two that end alike."""
+def checked(needles: DataFrame, id_: str, needle: str, unique: bool = False) -> tuple[DataFrame, int, int, int]:
+    """Needles, hinted for broadcast if small, the lengths of the shortest and the longest, and characters in all. ValueError
+    for an empty one, or with `unique` for two that end alike."""
     n, shortest, longest, chars = needles.agg(F.count("*"), F.min(F.length(needle)), F.max(F.length(needle)), F.sum(F.length(needle) * 2 + 16)).first()
     if n and (shortest is None or shortest < 1):
         raise ValueError("a needle is empty")
@@ -34,12 +45,50 @@ def checked(needles: DataFrame, id_: str, needle: str, unique: bool = False) ->
         ends = rows.groupBy(F.right("needle_", F.lit(shortest))).count().where("count > 1").limit(1).count()
         if ends:
             raise ValueError("two needles end alike")
-    return (F.broadcast(rows) if (chars or 0) <= BROADCAST_CHARS else rows), shortest or 1, longest or 1
+    return (F.broadcast(rows) if (chars or 0) <= BROADCAST_CHARS else rows), shortest or 1, longest or 1, chars or 0
+
+
+_automata: dict[str, object] = {}
+
+
+def _automaton(name: str, needles: list[tuple]):
+    """Made once in each worker, which keeps the last one."""
+    if name not in _automata:
+        _automata.clear()
+        found = ahocorasick.Automaton()
+        by_text: dict[str, list] = {}
+        for i, text in needles:
+            by_text.setdefault(text, []).append(i)
+        for text, ids in by_text.items():
+            found.add_word(text, (len(text), ids))
+        found.make_automaton()
+        _automata[name] = found
+    return _automata[name]
+
+
+def _scanned(texts: DataFrame, id_: str, text: str, needles: DataFrame) -> DataFrame:
+    few = [tuple(r) for r in needles.where("needle_ IS NOT NULL").select("needle_id", "needle_").collect()]
+    name = hashlib.blake2b(repr(sorted(few, key=str)).encode(), digest_size=16).hexdigest()
+    kinds = [df.schema[c].dataType.simpleString() for df, c in ((texts, id_), (needles, "needle_id"))]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        automaton = _automaton(name, few)
+        for batch in batches:
+            rows = [(i, end - n + 1, needle) for i, t in zip(batch.iloc[:, 0], batch.iloc[:, 1], strict=True) if t for end, (n, ids) in automaton.iter(t) for needle in ids]
+            yield pd.DataFrame(rows, columns=[id_, "idx", "needle_id"])
+
+    return texts.select(id_, text).mapInPandas(run, f"`{id_}` {kinds[0]}, idx long, needle_id {kinds[1]}")
 
 
 def find_matches(texts: DataFrame, id_: str, text: str, needles: DataFrame, needle_id: str, needle: str) -> DataFrame:
-    """id, idx (characters from 0), needle_id of every occurrence, overlapping ones too."""
-    rows, shortest, longest = checked(needles, needle_id, needle)
+    """id, idx (characters from 0), needle_id of every occurrence, overlapping ones too. Null texts and needles have none."""
+    rows, shortest, longest, chars = checked(needles, needle_id, needle)
+    if ahocorasick is not None and 0 < chars <= AUTOMATON_CHARS:
+        return _scanned(texts, id_, text, rows)
+    return _joined(texts, id_, text, rows, shortest, longest)
+
+
+def _joined(texts: DataFrame, id_: str, text: str, rows: DataFrame, shortest: int, longest: int) -> DataFrame:
     rows = rows.withColumn("key_", F.substring("needle_", 1, shortest))
     size = max(PIECE, longest)
     # each piece is followed by as much of the next as a needle may reach into
@@ -53,7 +102,8 @@ def find_matches(texts: DataFrame, id_: str, text: str, needles: DataFrame, need
 
 def first_matches(texts: DataFrame, id_: str, text: str, needles: DataFrame, needle_id: str, needle: str, k: int) -> DataFrame:
     """The k occurrences of each text that end first, with their rank."""
-    hits = find_matches(texts, id_, text, needles, needle_id, needle).join(F.broadcast(needles.select(F.col(needle_id).alias("needle_id"), F.length(needle).alias("length_"))), "needle_id")
+    lengths = checked(needles, needle_id, needle)[0].select("needle_id", F.length("needle_").alias("length_"))
+    hits = find_matches(texts, id_, text, needles, needle_id, needle).join(lengths, "needle_id")
     window = Window.partitionBy(id_).orderBy(F.col("idx") + F.col("length_"), "idx", "needle_id")
     return hits.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k).select(id_, "idx", "needle_id", "rank")
 
@@ -62,10 +112,21 @@ def find_apart(texts: DataFrame, id_: str, text: str, needle: str) -> DataFrame:
     """id and sorted starts of the occurrences of one needle that do not overlap, taken from the left."""
     if not needle:
         raise ValueError("a needle is empty")
-    n = len(needle)
-    places = F.when(F.length(text) >= n, F.filter(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(F.col(text), i, F.lit(n)) == needle)).otherwise(F.array().cast("array<int>"))
-    kept = F.aggregate(places, F.array().cast("array<int>"), lambda acc, i: F.when((F.size(acc) == 0) | (F.element_at(F.concat(F.array(F.lit(-n)), acc), -1) + n <= i), F.concat(acc, F.array(i))).otherwise(acc))
-    return texts.select(id_, F.transform(kept, lambda i: i - 1).alias("starts"))
+
+    @F.pandas_udf(ArrayType(IntegerType()))
+    def starts(values: pd.Series) -> pd.Series:
+        return values.map(lambda t: None if t is None else _apart(t, needle))
+
+    return texts.select(id_, starts(F.col(text)).alias("starts"))
+
+
+def _apart(text: str | bytes, needle: str | bytes) -> list[int]:
+    """Places from the left that do not overlap."""
+    out, at = [], text.find(needle)
+    while at >= 0:
+        out.append(at)
+        at = text.find(needle, at + len(needle))
+    return out
 
 
 def order_matches(df: DataFrame, keys: Sequence[str], pos: str, value: str, needles: dict[int, tuple[int, Sequence[int]]]) -> DataFrame:
@@ -86,6 +147,67 @@ def order_matches(df: DataFrame, keys: Sequence[str], pos: str, value: str, need
     return found
 
 
+def band_matches(df: DataFrame, keys: Sequence[str], pos: str, value: str, needles: dict[int, Sequence[int]]) -> DataFrame:
+    """keys, start, needle_id, intervals, centers: where values rise and fall as a needle of bands does (what precedes its
+    first change is free), found from the left without overlaps, and the bands' intervals there do not overlap either. Hits
+    are in order within a record; centers are the medians of their bands."""
+    coded = {name: (wildcard_needle(bands), np.array(bands)) for name, bands in sorted(needles.items())}
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema]
+    shape = ", ".join([*kinds, "start long, needle_id int, intervals array<struct<lo:double,hi:double>>, centers array<double>"])
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(pos, kind="stable")
+        values = pdf[value].to_numpy(float)
+        rising = (np.diff(values) > 0).astype(np.uint8).tobytes()
+        rows = []
+        for name, ((free, rises), bands) in coded.items():
+            for at in _apart(rising, bytes(rises)):
+                here = values[at - free : at - free + len(bands)] if at >= free else values[:0]
+                if len(here) < len(bands):
+                    continue
+                parts = [here[bands == b] for b in np.unique(bands)]
+                if all(x.max() < y.min() for x, y in zip(parts, parts[1:], strict=False)):
+                    rows.append((at - free, name, [{"lo": x.min(), "hi": x.max()} for x in parts], [float(np.median(x)) for x in parts]))
+        out = pd.DataFrame(sorted(rows, key=lambda r: r[:2]), columns=["start", "needle_id", "intervals", "centers"])
+        for k in reversed(keys):
+            out.insert(0, k, pdf[k].iloc[0])
+        return out
+
+    return df.select(*keys, pos, value).groupBy(*keys).applyInPandas(solve, shape)
+
+
+#: Modulus and multiplier of the rolling hash.
+ROLL_MODULUS, ROLL_MULTIPLIER = (1 << 31) - 1, 48271
+
+
+def rolling_hashes(values: np.ndarray, m: int) -> np.ndarray:
+    """Hash of the m values that end at each place, or of as many as there are: polynomials in ROLL_MULTIPLIER."""
+    out = np.zeros(len(values), np.uint64)
+    padded = np.concatenate([np.zeros(m - 1, np.uint64), np.asarray(values, np.uint64)])
+    for k in range(m):
+        out = (out * np.uint64(ROLL_MULTIPLIER) + padded[k : k + len(values)]) % np.uint64(ROLL_MODULUS)
+    return out
+
+
+def hash_candidates(texts: DataFrame, id_: str, text: str, needle: str, m: int, substitutions: int, inserts: int, deletes: int, alphabet: str) -> DataFrame:
+    """id and start where a band string's rolling hash is that of a corruption of the needle's first m symbols, cut to
+    m - deletes of them. Hits are candidates that nothing has verified; the shorter windows that begin a text count too."""
+    n = m - deletes
+    wanted = {int(rolling_hashes(_symbols(x[:n]), n)[-1]) for x in corruptions(needle[:m], substitutions, inserts, deletes, alphabet)}
+    kind = texts.schema[id_].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(i, max(0, int(at) - n + 1)) for i, t in zip(batch[id_], batch[text], strict=True) if t for at in np.flatnonzero(np.isin(rolling_hashes(_symbols(t), n), list(wanted)))]
+            yield pd.DataFrame(rows, columns=[id_, "start"])
+
+    return texts.select(id_, text).mapInPandas(run, f"`{id_}` {kind}, start int")
+
+
+def _symbols(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode(), np.uint8).astype(np.uint64) - np.uint64(48)
+
+
 def frames(df: DataFrame, keys: Sequence[str], pos: str, value: str, length: int, out: str = "frame") -> DataFrame:
     """Each row with the array of its own and the following values, `length` at most."""
     return df.withColumn(out, F.collect_list(value).over(record(keys, pos).rowsBetween(0, length - 1)))

@@ -266,13 +266,12 @@ def coverage_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _needles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "benchmark").where(F.length("text") >= 12).select("item_id", F.substring("text", 1, 12).alias("needle"))
-    return rows.groupBy("needle").agg(F.min("item_id").alias("item_id"))
+    return table(spark, sf_dir, "benchmark").where(F.length("text") >= 12).select("item_id", F.col("text").alias("needle"))
 
 
-HITS = """needles AS (SELECT min(item_id) AS needle_id, substring(text, 1, 12) AS needle FROM benchmark WHERE length(text) >= 12 GROUP BY 2),
+HITS = """needles AS (SELECT item_id AS needle_id, text AS needle FROM benchmark WHERE length(text) >= 12),
 places AS (SELECT doc_id, text, unnest(range(1, greatest(length(text) - 10, 1))) AS i FROM documents),
-hits AS (SELECT doc_id, i - 1 AS idx, needle_id FROM places JOIN needles ON substring(text, i, 12) = needle)"""
+hits AS (SELECT doc_id, i - 1 AS idx, needle_id, length(needle) AS n FROM places JOIN needles ON substring(text, i, 12) = substring(needle, 1, 12) WHERE substring(text, i, length(needle)) = needle)"""
 
 
 @query(_with(HITS) + "SELECT doc_id, idx, needle_id FROM hits")
@@ -280,7 +279,7 @@ def multi_needle_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.find_matches(table(spark, sf_dir, "documents"), "doc_id", "text", _needles(spark, sf_dir), "item_id", "needle")
 
 
-@query(_with(HITS) + "SELECT doc_id, idx, needle_id, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY idx, needle_id) AS INT) AS rank FROM hits) WHERE rank <= 2")
+@query(_with(HITS) + "SELECT doc_id, idx, needle_id, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY idx + n, idx, needle_id) AS INT) AS rank FROM hits) WHERE rank <= 2")
 def first_k_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.first_matches(table(spark, sf_dir, "documents"), "doc_id", "text", _needles(spark, sf_dir), "item_id", "needle", 2)
 
@@ -453,9 +452,17 @@ def kmedian_k3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.clusters(table(spark, sf_dir, "lineitem"), [], "l_quantity", 3).select("cost")
 
 
-@query()
+@query(
+    """WITH h AS (SELECT p_brand, p_size AS v, count(*) AS n FROM part GROUP BY ALL), r AS (SELECT unnest(range(0, 13)) AS w),
+span AS (SELECT h.p_brand, r.w, h.v, sum(x.n) AS n FROM h CROSS JOIN r JOIN h x ON x.p_brand = h.p_brand AND x.v BETWEEN h.v AND h.v + r.w GROUP BY ALL),
+some AS (SELECT p_brand, w, v, n FROM span UNION ALL SELECT DISTINCT p_brand, w, 1000 + 100 * k, 0 FROM span, (VALUES (1), (2), (3)) f(k)),
+kept AS (SELECT a.p_brand, a.w, max(a.n + b.n + c.n) AS n FROM some a JOIN some b ON b.p_brand = a.p_brand AND b.w = a.w AND b.v > a.v + a.w JOIN some c ON c.p_brand = a.p_brand AND c.w = a.w AND c.v > b.v + a.w GROUP BY ALL),
+total AS (SELECT p_brand, sum(n) AS n FROM h GROUP BY p_brand)
+SELECT p_brand, round(min(w / 2.0 + (t.n - k.n) / 1000.0), 6)::DOUBLE AS objective FROM kept k JOIN total t USING (p_brand) GROUP BY p_brand"""
+)
 def kcenter_k3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster.clusters(table(spark, sf_dir, "part"), ["p_brand"], "p_size", 3, 6.0)
+    found = cluster.clusters(table(spark, sf_dir, "part"), ["p_brand"], "p_size", 3, 6.0)
+    return found.select("p_brand", F.round(F.col("cost") + F.col("dropped") / 1000, 6).alias("objective"))
 
 
 @query(
@@ -619,8 +626,7 @@ def _tracking(start: str, alpha: str) -> str:
 @query(_with(PULSES, LISTS, f"t AS (SELECT user_id, {_tracking('12.0', '0.1')} AS t FROM lists)") + "SELECT user_id, CAST(t.z AS BIGINT) AS n_zeroes, CAST(t.n AS INT) AS n, round(t.half, 6) AS half FROM t")
 def pll_track(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _records(spark, sf_dir).withColumn("t", folds.tracked(F.col("delays"), CLOCK / 2, 0.1))
-    zeros = F.aggregate("t.zeroes", F.lit(0).cast("long"), lambda a, x: a + x)
-    return rows.select("user_id", zeros.alias("n_zeroes"), F.col("t.n").alias("n"), F.round("t.half", 6).alias("half"))
+    return rows.select("user_id", F.col("t.n_zeroes").alias("n_zeroes"), F.col("t.n").alias("n"), F.round("t.half", 6).alias("half"))
 
 
 @query(
@@ -696,36 +702,106 @@ def best_of_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.best_of(rated, KEYS, ["rmse", "alpha"]).select("user_id", "alpha", "rmse")
 
 
-# --- loops and streams: state along a record, rows only ---------------------------------------------------------------------
+# --- loops and streams: state along a record ---------------------------------------------------------------------------------
 
 
-@query()
+MATERIAL = PULSES.replace("pulses AS (", "pulses AS MATERIALIZED (", 1)
+
+
+def _scaled_band(value: str, scale: str, out: tuple = (0, 1, 2)) -> str:
+    """One of three by the nearest of the centers times a scale."""
+    far = [f"abs({value} - {scale} * {c}::DOUBLE)" for c in CENTERS]
+    return f"(CASE WHEN {far[0]} <= {far[1]} AND {far[0]} <= {far[2]} THEN {out[0]} WHEN {far[1]} <= {far[2]} THEN {out[1]} ELSE {out[2]} END)"
+
+
+def _excess(value: str, scale: str) -> str:
+    return f"({value} / ({scale} * {_scaled_band(value, scale, tuple(f'{c}::DOUBLE' for c in CENTERS))}) - 1)"
+
+
+def _loop_sql(state: str, start: str, step: str, seen: str) -> str:
+    """A recursion along each record: columns beside the scale `s`, their start and step, and the place whose scale gives a value its band."""
+    columns = f", {state}" if state else ""
+    return f"""WITH RECURSIVE {MATERIAL}, lists AS MATERIALIZED (SELECT user_id, list(CAST(delay AS DOUBLE) ORDER BY pos) AS v, count(*) AS n FROM pulses GROUP BY user_id),
+walk(user_id, i, s{columns}) AS (SELECT user_id, CAST(-1 AS BIGINT), 1.0::DOUBLE{start} FROM lists UNION ALL SELECT w.user_id, w.i + 1, {step} FROM walk w JOIN lists l ON l.user_id = w.user_id WHERE w.i + 1 < l.n)
+SELECT p.user_id, p.pos, p.delay, CAST({_scaled_band('p.delay', 'w.s')} AS INT) AS band FROM pulses p JOIN lists l ON l.user_id = p.user_id JOIN walk w ON w.user_id = p.user_id AND w.i = {seen}"""
+
+
+@query(_loop_sql("", "", f"w.s * (1 + 0.05::DOUBLE * {_excess('l.v[w.i + 2]', 'w.s')})", f"least(p.pos + {loops.delay_of(0.05)}, l.n - 1)"))
 def lagged_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return loops.follow(pulses(spark, sf_dir), KEYS, "pos", "delay", loops.lagged)
+    return loops.follow(pulses(spark, sf_dir), KEYS, "pos", "delay", loops.lagged, centers=CENTERS)
 
 
-@query()
+@query(_loop_sql("", "", f"w.s * (1 + 0.05::DOUBLE * list_median(list_transform(l.v[greatest(w.i - 13, 1):w.i + 16], lambda x: {_excess('x', 'w.s')})))", "p.pos"))
 def neighbourhood_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return loops.follow(pulses(spark, sf_dir), KEYS, "pos", "delay", loops.neighbourhood)
+    return loops.follow(pulses(spark, sf_dir), KEYS, "pos", "delay", loops.neighbourhood, centers=CENTERS)
 
 
-@query()
+@query(
+    _loop_sql(
+        "e",
+        f", list_transform(v[1:27], lambda x: {_excess('x', '1.0::DOUBLE')})",
+        f"""w.s * (1 + 0.005::DOUBLE * (list_sum(w.e[greatest(w.i - 25, 1):]) + CASE WHEN w.i + 28 < l.n THEN {_excess('l.v[w.i + 29]', 'w.s')} ELSE 0 END) / (least(l.n, w.i + 29) - greatest(w.i - 26, 0))),
+  CASE WHEN w.i + 28 < l.n THEN list_append(w.e, {_excess('l.v[w.i + 29]', 'w.s')}) ELSE w.e END""",
+        "p.pos",
+    )
+)
 def centred_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return loops.follow(pulses(spark, sf_dir), KEYS, "pos", "delay", loops.centred)
+    return loops.follow(pulses(spark, sf_dir), KEYS, "pos", "delay", loops.centred, centers=CENTERS)
 
 
-@query()
+@query(
+    """WITH RECURSIVE ticks AS MATERIALIZED (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, CAST(floor(value * 100) AS BIGINT) % 200 + 60 AS n FROM events),
+steps AS MATERIALIZED (SELECT *, CAST(sum(n) OVER (PARTITION BY user_id ORDER BY i) AS BIGINT) AS tick FROM ticks),
+loop(user_id, i, d, skip, kind) AS (SELECT user_id, CAST(0 AS BIGINT), CAST(100 AS BIGINT), 1, 0 FROM steps WHERE i = 0
+  UNION ALL SELECT user_id, i, greatest(d - d // 8, least(d + d // 8, CASE kind WHEN 2 THEN d - CAST(floor((d - n) / 2) AS BIGINT) WHEN 3 THEN d - CAST(floor((d - 2 * n // 4 - 2 * n // 8 + 2 * n // 32) / 2) AS BIGINT) WHEN 4 THEN d - CAST(floor((d - n // 2) / 2) AS BIGINT) ELSE d END)),
+    CASE WHEN skip > 0 THEN skip - 1 WHEN n >= 3 * d THEN 5 ELSE 0 END, kind
+  FROM (SELECT l.user_id, t.i, l.d, l.skip, t.n, CASE WHEN l.skip > 0 OR t.n < l.d // 4 THEN 0 WHEN t.n < l.d + l.d // 4 THEN 2 WHEN t.n < 2 * l.d - l.d // 4 THEN 3 WHEN t.n < 3 * l.d THEN 4 ELSE 0 END AS kind FROM loop l JOIN steps t ON t.user_id = l.user_id AND t.i = l.i + 1))
+SELECT user_id AS drive, tick, CASE WHEN i = 0 THEN 0 ELSE n END AS length, kind FROM loop JOIN steps USING (user_id, i)"""
+)
 def online_pulse_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return online.pulse_types(online.as_pulses(table(spark, sf_dir, "events")))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE orders AS MATERIALIZED (SELECT user_id, epoch_us(ts) * 50 AS tick, CASE event_type WHEN 'click' THEN 'motor' WHEN 'view' THEN 'seek' WHEN 'purchase' THEN 'read' WHEN 'signup' THEN 'done' WHEN 'error' THEN 'cancel' END AS command FROM events),
+steps AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY tick, command) AS i FROM orders),
+go(user_id, i, last, motor, began, late) AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), false, CAST(NULL AS BIGINT), false FROM steps
+  UNION ALL SELECT user_id, i, tick, motor OR command IN ('motor', 'seek', 'read'), CASE WHEN command = 'read' THEN tick WHEN command IN ('done', 'cancel') THEN NULL ELSE began END, late
+  FROM (SELECT user_id, i, tick, command, late, CASE WHEN NOT late THEN began END AS began, motor AND NOT ((began IS NULL OR late) AND last IS NOT NULL AND tick - last > {online.IDLE_TICKS}) AS motor
+    FROM (SELECT t.user_id, t.i, t.tick, t.command, g.last, g.motor, g.began, coalesce(t.tick - g.began > {online.READ_TICKS}, false) AS late FROM go g JOIN steps t ON t.user_id = g.user_id AND t.i = g.i + 1)))
+SELECT user_id AS drive, tick, motor, began IS NOT NULL AS reading, late AS timed_out FROM go JOIN steps USING (user_id, i)"""
+)
 def online_drive_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     command = F.element_at(F.create_map(*[F.lit(x) for x in ("click", "motor", "view", "seek", "purchase", "read", "signup", "done", "error", "cancel")]), F.col("event_type"))
     rows = table(spark, sf_dir, "events")
     return online.drive_states(rows.select(F.col("user_id").alias("drive"), (F.unix_micros(F.col("ts").cast("timestamp")) * 50).alias("tick"), command.alias("command")))
 
 
-@query()
+NEAR_NEEDLE = "blue bolt"
+
+
+@query(
+    f"""WITH RECURSIVE names AS (SELECT DISTINCT p_name FROM part),
+st(p_name, a, i, j, s, n, d) AS (SELECT p_name, CAST(unnest(range(0, length(p_name) + 1)) AS INT) AS a, 0, a, 0, 0, 0 FROM names
+  UNION SELECT p_name, a, i + x.i, j + x.j, s + x.s, n + x.n, d + x.d FROM st, (VALUES (0, 1, 1, 0, 0, 0), (1, 1, 1, 1, 0, 0), (2, 0, 1, 0, 1, 0), (3, 1, 0, 0, 0, 1)) x(kind, i, j, s, n, d)
+  WHERE st.i < {len(NEAR_NEEDLE)} AND (x.kind = 3 OR j < length(p_name)) AND s + x.s <= 2 AND n + x.n <= 1 AND d + x.d <= 1
+    AND (x.kind = 0) = (j < length(p_name) AND substring(p_name, j + 1, 1) = substring('{NEAR_NEEDLE}', st.i + 1, 1))),
+best AS (SELECT p_name, j AS e, min(s + n + d) AS edits FROM st WHERE i = {len(NEAR_NEEDLE)} AND j > a GROUP BY ALL),
+firsts AS (SELECT b.p_name, b.e, b.edits, min(a) AS a FROM best b JOIN st ON st.p_name = b.p_name AND st.j = b.e AND st.i = {len(NEAR_NEEDLE)} AND s + n + d = b.edits AND st.j > st.a GROUP BY ALL)
+SELECT p_partkey, a AS start, e AS "end", CAST(edits AS INT) AS edits FROM part JOIN firsts USING (p_name)"""
+)
 def near_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.near_matches(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_partkey", "p_name", "blue bolt", 2, 1, 1)
+    return search.near_matches(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_partkey", "p_name", NEAR_NEEDLE, 2, 1, 1)
+
+
+RISES = f"""rises AS (SELECT user_id, pos, delay, lag(delay) {W_USER} AS before, lead(delay, 1) {W_USER} AS b, lead(delay, 2) {W_USER} AS c FROM pulses)"""
+
+
+@query(
+    _with(PULSES, RISES, "s AS (SELECT user_id, pos - 1 AS start, before AS x0, delay AS x1, b AS x2, c AS x3 FROM rises WHERE b > delay AND c <= b AND before IS NOT NULL)")
+    + "SELECT user_id, start, 0 AS needle_id, CAST(least(x0, x1, x3) AS DOUBLE) AS lo0, CAST(greatest(x0, x1, x3) AS DOUBLE) AS hi0, CAST(x2 AS DOUBLE) AS center1 FROM s WHERE greatest(x0, x1, x3) < x2"
+)
+def band_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bands 0 0 1 0: the first change is a rise from the second value on."""
+    found = search.band_matches(pulses(spark, sf_dir), KEYS, "pos", "delay", {0: (0, 0, 1, 0)})
+    return found.select("user_id", "start", "needle_id", F.col("intervals")[0]["lo"].alias("lo0"), F.col("intervals")[0]["hi"].alias("hi0"), F.col("centers")[1].alias("center1"))

@@ -13,13 +13,15 @@ from ..functions import mfm
 from ..functions.checksums import big_endian, crc16_long
 from ..functions.signal import clock_fit, decoded_status, mark_type, sector_size
 from ..operators.merge import best_of, first_wins
-from ..operators.search import frames, order_matches
+from ..operators.search import band_matches, frames, near_matches, order_matches
 from ..operators.sequence import compile_needle, zero_run_lengths
 from ..operators.timeline import pair_latest
 
 KEYS = ["image_id", "rec_no", "track", "side"]
 #: A header counts for data that begins less than this many bytes later; sectors are this long where no header says so.
 TOLERANCE, DEFAULT_LENGTH = 134, 512
+#: Bits of zeros before a long sync mark, and the gains that are swept, coarse and fine.
+LEAD = 56
 COARSE = tuple(np.arange(0.005, 0.5, 0.1).round(3).tolist())
 FINE = tuple(np.arange(0.5, 0.995, 0.005).round(3).tolist())
 
@@ -28,6 +30,28 @@ def needles() -> dict[int, tuple[int, list[int]]]:
     return {k: compile_needle(p.tolist()) for k, p in mfm.PREAMBLE.items()}
 
 
+def bands_of_bits(bits: str) -> list[int]:
+    """Bands of a bit string that begins and ends with a 1: zeros between ones, less one."""
+    return [len(x) - 1 for x in bits.strip("0").split("1")[1:-1]]
+
+
+def long_needles() -> dict[int, list[int]]:
+    """Bands of either sync mark after seven bytes of zeros."""
+    return {k: bands_of_bits("10" * LEAD + v * 3) for k, v in mfm.SYNC.items()}
+
+
+def preambles(flux: DataFrame) -> DataFrame:
+    """KEYS, start, needle_id, intervals, centers of both long sync marks, with the bands as each hit has them."""
+    return band_matches(flux, KEYS, "pos", "delay", long_needles())
+
+
+def corrupted_marks(bands: DataFrame, id_: str, text: str, substitutions: int, inserts: int, deletes: int) -> DataFrame:
+    """id, start, end, edits of places in band strings that come near to a record's mark: the first sync mark and the five
+    ones that all marks of records begin with."""
+    needle = "".join(map(str, bands_of_bits("10" + mfm.SYNC[0] * 3 + mfm.encode(b"\xf8", 1)[:10])))
+    return near_matches(bands, id_, text, needle, substitutions, inserts, deletes)
+
+
 def find_records(flux: DataFrame) -> DataFrame:
     """KEYS, start, needle_id, clock: order matches of either sync mark whose delays fit a clock."""
     found = order_matches(flux, KEYS, "pos", "delay", needles())
