@@ -455,8 +455,8 @@ def kmedian_k3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """WITH h AS (SELECT p_brand, p_size AS v, count(*) AS n FROM part GROUP BY ALL), r AS (SELECT unnest(range(0, 13)) AS w),
 span AS (SELECT h.p_brand, r.w, h.v, sum(x.n) AS n FROM h CROSS JOIN r JOIN h x ON x.p_brand = h.p_brand AND x.v BETWEEN h.v AND h.v + r.w GROUP BY ALL),
-some AS (SELECT p_brand, w, v, n FROM span UNION ALL SELECT DISTINCT p_brand, w, 1000 + 100 * k, 0 FROM span, (VALUES (1), (2), (3)) f(k)),
-kept AS (SELECT a.p_brand, a.w, max(a.n + b.n + c.n) AS n FROM some a JOIN some b ON b.p_brand = a.p_brand AND b.w = a.w AND b.v > a.v + a.w JOIN some c ON c.p_brand = a.p_brand AND c.w = a.w AND c.v > b.v + a.w GROUP BY ALL),
+places AS (SELECT p_brand, w, v, n FROM span UNION ALL SELECT DISTINCT p_brand, w, 1000 + 100 * k, 0 FROM span, (VALUES (1), (2), (3)) f(k)),
+kept AS (SELECT a.p_brand, a.w, max(a.n + b.n + c.n) AS n FROM places a JOIN places b ON b.p_brand = a.p_brand AND b.w = a.w AND b.v > a.v + a.w JOIN places c ON c.p_brand = a.p_brand AND c.w = a.w AND c.v > b.v + a.w GROUP BY ALL),
 total AS (SELECT p_brand, sum(n) AS n FROM h GROUP BY p_brand)
 SELECT p_brand, round(min(w / 2.0 + (t.n - k.n) / 1000.0), 6)::DOUBLE AS objective FROM kept k JOIN total t USING (p_brand) GROUP BY p_brand"""
 )
@@ -783,9 +783,9 @@ NEAR_NEEDLE = "blue bolt"
 @query(
     f"""WITH RECURSIVE names AS (SELECT DISTINCT p_name FROM part),
 st(p_name, a, i, j, s, n, d) AS (SELECT p_name, CAST(unnest(range(0, length(p_name) + 1)) AS INT) AS a, 0, a, 0, 0, 0 FROM names
-  UNION SELECT p_name, a, i + x.i, j + x.j, s + x.s, n + x.n, d + x.d FROM st, (VALUES (0, 1, 1, 0, 0, 0), (1, 1, 1, 1, 0, 0), (2, 0, 1, 0, 1, 0), (3, 1, 0, 0, 0, 1)) x(kind, i, j, s, n, d)
-  WHERE st.i < {len(NEAR_NEEDLE)} AND (x.kind = 3 OR j < length(p_name)) AND s + x.s <= 2 AND n + x.n <= 1 AND d + x.d <= 1
-    AND (x.kind = 0) = (j < length(p_name) AND substring(p_name, j + 1, 1) = substring('{NEAR_NEEDLE}', st.i + 1, 1))),
+  UNION SELECT p_name, a, i + di, j + dj, s + ds, n + dn, d + dd FROM st, (VALUES (0, 1, 1, 0, 0, 0), (1, 1, 1, 1, 0, 0), (2, 0, 1, 0, 1, 0), (3, 1, 0, 0, 0, 1)) x(kind, di, dj, ds, dn, dd)
+  WHERE i < {len(NEAR_NEEDLE)} AND (kind = 3 OR j < length(p_name)) AND s + ds <= 2 AND n + dn <= 1 AND d + dd <= 1
+    AND (kind = 0) = (j < length(p_name) AND substring(p_name, j + 1, 1) = substring('{NEAR_NEEDLE}', i + 1, 1))),
 best AS (SELECT p_name, j AS e, min(s + n + d) AS edits FROM st WHERE i = {len(NEAR_NEEDLE)} AND j > a GROUP BY ALL),
 firsts AS (SELECT b.p_name, b.e, b.edits, min(a) AS a FROM best b JOIN st ON st.p_name = b.p_name AND st.j = b.e AND st.i = {len(NEAR_NEEDLE)} AND s + n + d = b.edits AND st.j > st.a GROUP BY ALL)
 SELECT p_partkey, a AS start, e AS "end", CAST(edits AS INT) AS edits FROM part JOIN firsts USING (p_name)"""
