@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_BYTES, written
 
 
+#: Edges that a task writes at least.
+EDGES = 50_000
+
+
 def _digest(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
 
@@ -26,14 +30,16 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     while before[0]:
         # no more minima than twice the edges
         side = F.broadcast if before[0] * 64 <= BROADCAST_BYTES else written
+        # few edges are few files; many stay in the partitions they have
+        few = max(8, before[0] // EDGES)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = side(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = written(large)
+        large = written(large.coalesce(few))
         low = side(large.groupBy("u").agg(F.min("v").alias("m")))
         pairs = large.join(low, "u")
         small = pairs.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        now = written(small)
+        now = written(small.coalesce(few))
         after = _digest(now)
         if after == before:
             break
