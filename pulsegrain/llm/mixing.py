@@ -21,9 +21,9 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def uniform(doc_id: Column, seed: str = SEED) -> Column:
-    """A number strictly between 0 and 1 from the document's id alone."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null"))))
+def uniform(doc_id: Column, text: Column, seed: str = SEED) -> Column:
+    """A number strictly between 0 and 1 from the document's id alone, or from its text where there is no id."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(text, F.lit("")))))))
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long").cast("double") + 0.5) / float(1 << 52)
 
 
@@ -45,11 +45,11 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
 
 
 def _keyed(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """`rows` (mix_id, mix_source, mix_size, mix_weight) with their source's plan, certain copies and rank key."""
+    """`rows` (mix_id, mix_u, mix_source, mix_size, mix_weight) with their source's plan, certain copies and rank key."""
     joined = rows.join(plan, F.col("mix_source").eqNullSafe(F.col("source_")), "left")
     expected = F.least(F.lit(float(MOST)), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size") * F.col("mix_weight") / F.col("mean_weight")).otherwise(F.lit(0.0)))
     joined = joined.withColumn("certain", F.floor(expected).cast("long")).withColumn("p", expected - F.col("certain"))
-    u = uniform(F.col("mix_id"))
+    u = F.col("mix_u")
     odds = u / (1 - u) * ((1 - F.col("p")) / F.col("p"))
     joined = joined.withColumn("key", F.when(F.col("p") > 0, odds / (1 + odds)))
     return joined.withColumn("b1", F.floor(F.col("key") * BUCKETS)).withColumn("b2", F.floor(F.col("key") * BUCKETS * BUCKETS) - F.col("b1") * BUCKETS)
@@ -94,14 +94,15 @@ def _copies(rows: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def _rows(docs: DataFrame, doc_id: str, text: str, source: str, weight: str | None) -> list[Column]:
-    return [F.col(doc_id).alias("mix_id"), F.col(source).alias("mix_source"), word_count(F.col(text)).alias("mix_size"), (F.coalesce(F.col(weight).cast("double"), F.lit(0.0)) if weight else F.lit(1.0)).alias("mix_weight")]
+    return [F.col(doc_id).alias("mix_id"), uniform(F.col(doc_id), F.col(text)).alias("mix_u"), F.col(source).alias("mix_source"), word_count(F.col(text)).alias("mix_size"), (F.coalesce(F.col(weight).cast("double"), F.lit(0.0)) if weight else F.lit(1.0)).alias("mix_weight")]
 
 
 def mix_sizes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weight: str | None = None) -> DataFrame:
     """Per row: doc_id, size (words), source_size, target, taken (words the mix takes), copies.
 
-    Null and empty texts have size 0 and take none; a null source is a source, last in order; a null doc_id has a rank of
-    its own. Rows that repeat an id share its rank, so all or none of them cross the cut. An empty table gives no rows.
+    Null and empty texts have size 0 and take none; a null source is a source, last in order; a row without
+    an id is ranked by its text. Rows that repeat an id, or a text without one, share a rank, so all or none of them cross the
+    cut. An empty table gives no rows.
     Reruns agree: the rank comes from the id. With `weight`, documents of a source differ in probability; no document is
     taken more than three times, and what that leaves over goes to the next in rank.
     """
