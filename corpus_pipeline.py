@@ -19,22 +19,28 @@ from pulsegrain.llm.quality_classifier import keep_good
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows that the quality classifier scores 0.3 or more, learned from the labels of `sf_dir`. Null and empty texts are
+    scored as empty ones; without two positives to learn from all rows stay; an empty table gives no rows."""
     return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of near duplicates: that of least id, a null one last. Texts without words all stay."""
     return keep_one_of_each_group(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows in which no item of the benchmark occurs. Null texts hold none; an empty benchmark leaves all rows."""
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, with personal data in their texts replaced by its kind. Null texts stay null."""
     return pii_mask(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows that the mix of sources takes, with how many `copies`. Texts without words are never taken."""
     return mix(docs)
 
 
