@@ -36,17 +36,24 @@ def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], ok: str) -> Data
     return both.withColumn("b_", take).select(*keys, *[F.col(f"b_.`{c}`").alias(c) for c in rest])
 
 
+#: Values of an axis up to which it is broadcast.
+AXIS = 100_000
+
+
+def _grid(axes: Sequence[DataFrame]) -> DataFrame:
+    """Every combination of the axes, which is the result's size; an axis is broadcast once it has been counted."""
+    return reduce(lambda a, b: a.crossJoin(F.broadcast(b) if b.limit(AXIS + 1).count() <= AXIS else b), axes)
+
+
 def dense_grid(axes: Sequence[DataFrame], values: DataFrame, keys: Sequence[str], fill: dict) -> DataFrame:
-    """Every combination of the axes (small lists of key values each) with its row of `values`, or `fill` where it has none."""
-    grid = reduce(lambda a, b: a.crossJoin(F.broadcast(b)), axes)
-    full = grid.join(values, list(keys), "left")
+    """Every combination of the axes (lists of key values each) with its row of `values`, or `fill` where it has none."""
+    full = _grid(axes).join(values, list(keys), "left")
     return full.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in fill.items()})
 
 
 def missing(axes: Sequence[DataFrame], values: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Combinations of the axes that `values` lacks."""
-    grid = reduce(lambda a, b: a.crossJoin(F.broadcast(b)), axes)
-    return grid.join(values.select(*keys).distinct(), list(keys), "left_anti")
+    return _grid(axes).join(values.select(*keys).distinct(), list(keys), "left_anti")
 
 
 def best_of(df: DataFrame, keys: Sequence[str], rank: Sequence[str]) -> DataFrame:

@@ -31,7 +31,7 @@ def files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """image_id and content of each file, numbered in order of their paths. Only paths are put in order."""
     found = spark.read.format("binaryFile").load(list(paths))
     names = found.select("path").withColumn("image_id", F.row_number().over(Window.orderBy("path")) - 1)
-    return found.select("path", "content").join(F.broadcast(names) if len(paths) < 100_000 else names, "path")
+    return found.select("path", "content").join(F.broadcast(names) if names.limit(100_001).count() <= 100_000 else names, "path")
 
 
 def sqlite_records(content: bytes, track: int | None = None, side: int | None = None) -> list[tuple]:
@@ -181,6 +181,7 @@ class _Writer(DataSourceWriter):
     def commit(self, messages):
         db = sqlite3.connect(self.path)
         with db:
+            # fixed values: the tables of the file format
             db.execute("CREATE TABLE IF NOT EXISTS zdata (track INTEGER, side INTEGER, data BLOB, compression INTEGER, PRIMARY KEY (track, side))")
             db.execute("CREATE TABLE IF NOT EXISTS properties (key TEXT UNIQUE NOT NULL PRIMARY KEY, value TEXT)")
             db.execute("INSERT OR IGNORE INTO properties VALUES ('version', '3')")

@@ -17,6 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 #: an idle motor stops and until a read gives up (50 million a second), and the sync pattern before a record.
 FIRST_DELAY, SKIPPED, REACH = 100, 5, 700
 IDLE_TICKS, READ_TICKS = 100_000_000, 200_000_000
+TICKS_A_MS = 50_000
 SYNC = bin(0x448944894489)[2:]
 
 
@@ -180,20 +181,35 @@ def _states(drive: int, saved: list, pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["drive", "tick", "motor", "reading", "timed_out"])
 
 
-def drive_states(commands: DataFrame) -> DataFrame:
+def _expired(drive: int, saved: list) -> pd.DataFrame:
+    """What a drive does by itself when no command comes: a read gives up, or else its motor stops."""
+    last, motor, began = saved
+    if began is not None:
+        saved[2] = None
+        row = (drive, began + READ_TICKS, motor, False, True)
+    else:
+        saved[1] = False
+        row = (drive, last + IDLE_TICKS, False, False, False)
+    return pd.DataFrame([row], columns=["drive", "tick", "motor", "reading", "timed_out"])
+
+
+def drive_states(commands: DataFrame, timers: bool = False) -> DataFrame:
     """drive, tick, motor, reading, timed_out after each command (drive, tick, command). A motor that idles too long has
-    stopped, and a read that takes too long has been cancelled, by the next command's tick."""
+    stopped, and a read that takes too long has been cancelled, by the next command's tick. On a stream with `timers` the
+    same happens to a drive that no command reaches, and is told in a row of its own; such a query runs until it is stopped."""
     rows = commands.select("drive", "tick", "command")
     if not rows.isStreaming:
         return rows.groupBy("drive").applyInPandas(lambda key, pdf: _states(key[0], [None, False, None], pdf), COMMANDS)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         saved = json.loads(state.get[0]) if state.exists else [None, False, None]
-        out = _states(key[0], saved, pd.concat(list(batches)))
+        out = _expired(key[0], saved) if state.hasTimedOut else _states(key[0], saved, pd.concat(list(batches)))
         state.update((json.dumps(saved),))
+        if timers and (saved[1] or saved[2] is not None):
+            state.setTimeoutDuration((READ_TICKS if saved[2] is not None else IDLE_TICKS) // TICKS_A_MS)
         yield out
 
-    return rows.groupBy("drive").applyInPandasWithState(step, COMMANDS, "saved string", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("drive").applyInPandasWithState(step, COMMANDS, "saved string", "append", GroupStateTimeout.ProcessingTimeTimeout if timers else GroupStateTimeout.NoTimeout)
 
 
 def as_pulses(events: DataFrame) -> DataFrame:

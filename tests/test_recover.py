@@ -57,6 +57,30 @@ def test_clean_track_and_merge(spark):
     assert lost[3, 0] == list(range(6, 19)) and lost[0, 0] is None and len(lost) == 160
 
 
+def test_long_preambles_and_corrupted_marks(spark):
+    delays = mfm.synthetic_track(3, 0, sample(2, 128))
+    flux = long_form(spark, [(0, 0, 3, 0, delays)])
+    found = recover.preambles(flux).orderBy("start").collect()
+    places = [r.start for r in recover.find_records(flux).orderBy("start").collect()]
+    # two headers and two data records, each with its sync bytes before the mark, and bands that keep apart
+    assert len(found) == len(places) == 4 and all(r.needle_id == 0 and [c for c in r.centers] == sorted(r.centers) and len(r.centers) == 3 for r in found)
+    bands = "".join(str(min(2, max(0, round(d / 11.5) - 2))) for d in delays)
+    rows = spark.createDataFrame([(1, bands), (2, "0" * 500)], "id int, bands string")
+    marks = recover.corrupted_marks(rows, "id", "bands", 0, 0, 0).collect()
+    assert {r.id for r in marks} == {1} and len(marks) == 4
+    assert len(recover.corrupted_marks(spark.createDataFrame([(1, bands[: marks[0].start + 20] + ("1" if bands[marks[0].start + 20] != "1" else "2") + bands[marks[0].start + 21 :])], "id int, bands string"), "id", "bands", 1, 0, 0).collect()) >= 4
+
+
+def test_slices_and_bytes_as_files(spark, tmp_path):
+    rows = spark.createDataFrame([(0, 1, 0, "OK", b"ab", b"\x00\x01"), (1, 1, 0, "BAD", b"c", None), (2, 2, 1, "OK", None, b"")], "n int, track int, side int, status string, data binary, errors binary")
+    for _ in range(2):  # a second run takes the first's place
+        images.write_slices(rows, str(tmp_path / "slices"))
+    back = spark.read.parquet(str(tmp_path / "slices"))
+    assert back.count() == 3 and {p.name for p in (tmp_path / "slices").glob("track=1/side=0/*")} == {"status=OK", "status=BAD"}
+    images.write_stream_of_bytes(rows, ["n"], str(tmp_path / "all"))
+    assert (tmp_path / "all.dat").read_bytes() == b"abc" and (tmp_path / "all.err").read_bytes() == b"\x00\x01"
+
+
 def test_image_files(spark, tmp_path):
     sectors = spark.createDataFrame([(0, 0, 1, b"ab"), (0, 1, 2, b"xyz!")], "track int, head int, sector int, data binary")
     images.write_image(spark, sectors, str(tmp_path / "out"), tracks=1, per_track=2, size=4)

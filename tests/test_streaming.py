@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import numpy as np
 
 from pulsegrain.functions import mfm
@@ -54,6 +56,25 @@ def test_loop_limits():
     assert loop.delay == 112
 
 
+def test_timers():
+    saved = [70, True, 50]
+    first, second = (online._expired(3, saved).iloc[0].tolist() for _ in range(2))
+    assert first == [3, 50 + online.READ_TICKS, True, False, True] and second == [3, 70 + online.IDLE_TICKS, False, False, False]
+    assert saved == [70, False, None]
+
+
+def test_a_silent_drive(spark, tmp_path):
+    stream = online.drive_states(written(spark, tmp_path, [(1, 5, "read")], "drive long, tick long, command string", 1), timers=True)
+    query = stream.writeStream.format("memory").queryName("silent_").option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="1 second").start()
+    for _ in range(60):
+        rows = spark.table("silent_").orderBy("tick").collect()
+        if len(rows) >= 3:
+            break
+        time.sleep(1)
+    query.stop()
+    assert [(r.tick, r.motor, r.reading, r.timed_out) for r in rows] == [(5, True, True, False), (5 + online.IDLE_TICKS, False, False, False), (5 + online.READ_TICKS, True, False, True)]
+
+
 def test_drive_commands(spark, tmp_path):
     m = 1_000_000
     rows = [(1, 0, "read"), (1, 150 * m, "seek"), (1, 260 * m, "seek"), (1, 300 * m, "read"), (1, 310 * m, "done"), (1, 420 * m, "status"), (1, 421 * m, "motor")]
