@@ -52,8 +52,11 @@ def band_intervals(df: DataFrame, keys: Sequence[str], band: str, value: str) ->
     return found.select(*keys, F.when(~F.col("clash_"), F.transform("all_", lambda x: F.struct(x["lo"].alias("lo"), x["hi"].alias("hi")))).alias("intervals"))
 
 
-def band_centers(df: DataFrame, keys: Sequence[str], band: str, value: str) -> DataFrame:
-    return df.groupBy(*keys, band).agg(F.median(value).alias("center"), F.count("*").alias("n"))
+def band_centers(df: DataFrame, keys: Sequence[str], band: str, value: str, trim: float | None = None) -> DataFrame:
+    """Center and number of each band's values, which may come from several hits: the median, or the middle of the quantiles at
+    `trim` and 1 - trim."""
+    center = F.median(value) if trim is None else (F.percentile(value, trim) + F.percentile(value, 1 - trim)) / 2
+    return df.groupBy(*keys, band).agg(center.alias("center"), F.count("*").alias("n"))
 
 
 def valid_fraction(df: DataFrame, keys: Sequence[str], ok: str) -> DataFrame:

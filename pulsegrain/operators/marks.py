@@ -26,6 +26,11 @@ def with_crc(raw: Column) -> Column:
     return F.concat(raw, F.unhex(F.lpad(F.hex(crc16(raw)), 4, "0")))
 
 
+def index_bytes() -> Column:
+    """An index record, which has no checksum."""
+    return F.unhex(F.lit("C2C2C2FC"))
+
+
 def data_bytes(data: Column, deleted: bool = False) -> Column:
     return F.concat(F.unhex(F.lit(f"{MARK}{'F8' if deleted else 'FB'}")), data)
 

@@ -186,6 +186,27 @@ def classify_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _headers(spark, sf_dir).select("event_id", signal.mark_type(F.col("header")).alias("mark_type"), signal.is_deleted(F.col("header")).alias("deleted"))
 
 
+@query(_with(PULSES) + "SELECT user_id, pos, CAST(floor(delay * 1.25) AS INT) AS delay FROM pulses")
+def stretched_delays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pulses(spark, sf_dir).select("user_id", "pos", signal.stretched(F.col("delay"), 0.25).alias("delay"))
+
+
+@query(_with(PULSES) + "SELECT user_id, string_agg(CAST(pos * 3 + delay - first AS VARCHAR), ',' ORDER BY pos) AS places FROM (SELECT *, first_value(pos * 3 + delay) OVER (PARTITION BY user_id ORDER BY pos) AS first FROM pulses) GROUP BY user_id")
+def rebased_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pulses(spark, sf_dir).groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("pos", (F.col("pos") * 3 + F.col("delay")).alias("at")))).alias("p"))
+    places = timeline.rebase(F.transform("p", lambda x: x["at"]))
+    return rows.select("user_id", F.array_join(F.transform(places, lambda x: x.cast("string")), ",").alias("places"))
+
+
+@query(
+    _with(HEADERS)
+    + """SELECT event_id, CAST(CASE WHEN h IN ('C2C2C2FC', 'C2C2C2FE') THEN 4 WHEN h IN ('A1A1A1FC', 'A1A1A1FD', 'A1A1A1FE', 'A1A1A1FF') THEN 10
+  WHEN h IN ('A1A1A1F8', 'A1A1A1F9', 'A1A1A1FA', 'A1A1A1FB') THEN 518 END AS INT) AS n_bytes FROM headers"""
+)
+def record_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _headers(spark, sf_dir).select("event_id", signal.byte_length(signal.mark_type(F.col("header")), F.lit(512)).alias("n_bytes"))
+
+
 # --- pairing and slicing --------------------------------------------------------------------------------------------------
 
 
@@ -398,6 +419,11 @@ def band_centers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.band_centers(bands(spark, sf_dir), KEYS, "band", "delay")
 
 
+@query(_with(PULSES, BANDS) + "SELECT user_id, band, round((quantile_cont(delay, 0.1) + quantile_cont(delay, 0.9)) / 2, 6) AS center, count(*) AS n FROM bands GROUP BY ALL")
+def band_midranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregates.band_centers(bands(spark, sf_dir), KEYS, "band", "delay", 0.1).withColumn("center", F.round("center", 6))
+
+
 @query(_with(PULSES) + "SELECT user_id, count(*) FILTER (k % 10 <> 0) AS n_valid, count(*) FILTER (k % 10 = 0) AS n_invalid, count(*) FILTER (k % 10 <> 0) / count(k) AS fraction FROM pulses GROUP BY user_id")
 def valid_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.valid_fraction(pulses(spark, sf_dir).withColumn("ok", F.col("k") % 10 != 0), KEYS, "ok")
@@ -602,6 +628,13 @@ def lp_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(after, "vec_id").select("vec_id", F.round(signal.lp_distance(F.col("embedding"), F.col("other"), 3), 6).alias("distance"))
 
 
+@query("SELECT a.vec_id, CAST(floor(pow(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: pow(floor(abs(CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE)) * 1000), 2))), 0.5) + 1e-9) AS BIGINT) AS distance FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def lp_distance_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    after = rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    return rows.join(after, "vec_id").select("vec_id", signal.lp_distance_fixed(F.col("embedding"), F.col("other"), 2).alias("distance"))
+
+
 # --- recurrences ----------------------------------------------------------------------------------------------------------
 
 

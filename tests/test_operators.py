@@ -286,6 +286,7 @@ def test_smoothest_and_zeroes(spark):
 
 
 def test_fixed_point_and_warps(spark):
+    assert one(spark.range(1).select(signal.mark_type(marks.index_bytes()).alias("k"))).k == "IAM"
     r = one(spark.range(1).select(signal.lp_distance_fixed(F.array(F.lit(0.0), F.lit(1.0)), F.array(F.lit(3.0), F.lit(5.0)), 2).alias("d"), signal.stretched(F.lit(40), 0.25).alias("s"), signal.warped(F.lit(40), F.lit(0), 0.0, 4.0, 0.1).alias("w")))
     assert (r.d, r.s, r.w) == (5000, 50, 42)
     kinds = spark.createDataFrame([("IDAM", 0), ("IAM", 0), ("DAM", 512), ("UNKNOWN", 0)], "k string, n int")
